@@ -124,7 +124,7 @@ class WordTables:
         return self._counts(word)
 
     def _counts(self, word: str) -> tuple[int, ...]:
-        if word.isascii():
+        if word.isascii() and word.isprintable():
             letters, stops = word, range(1, len(word) + 1)
         else:
             encoded = [c.encode() for c in word]
