@@ -27,7 +27,11 @@ from . import scan
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points that are worked on at once, and pieces that a worker remembers.
-CHUNK, REMEMBERED = 2_000_000, 500_000
+CHUNK, REMEMBERED = 1_000_000, 400_000
+#: Pieces of up to SHORT bytes are looked up in a table of 2**SLOT_BITS places, PROBES of them at most.
+SHORT, SLOT_BITS, PROBES = 7, 19, 4
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,6 +65,42 @@ class _Pieces(dict):
         )
 
 
+class _Slots:
+    """An open hash table over numpy arrays: short pieces, packed into a number with their length, to their index."""
+
+    def __init__(self):
+        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.values = np.zeros(1 << SLOT_BITS, np.int64)
+
+    @staticmethod
+    def places(keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key, -1 for those that aren't there."""
+        at = self.places(keys)
+        out = np.where(self.keys.take(at) == keys, self.values.take(at), -1)
+        for step in range(1, PROBES):
+            rest = np.flatnonzero(out < 0)
+            if not len(rest):
+                break
+            again = (at[rest] + step) & ((1 << SLOT_BITS) - 1)
+            out[rest] = np.where(self.keys.take(again) == keys[rest], self.values.take(again), -1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keep what finds a free place; the rest is looked up as long pieces are."""
+        keys, first = np.unique(keys, return_index=True)
+        for key, at, value in zip(keys, self.places(keys).tolist(), values[first].tolist(), strict=True):
+            for step in range(PROBES):
+                slot = (at + step) & ((1 << SLOT_BITS) - 1)
+                if self.keys[slot] == key:
+                    break
+                if not self.keys[slot]:
+                    self.keys[slot], self.values[slot] = key, value
+                    break
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """pool[starts[i] : starts[i] + lengths[i]] for all i, joined."""
     total = int(lengths.sum())
@@ -91,7 +131,24 @@ class ByteBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self._pieces, self._tables = _Pieces(self._merge), None
+        self._pieces, self._tables, self._slots = _Pieces(self._merge), None, _Slots()
+
+    def _index(self, raw: bytes, at: np.ndarray) -> np.ndarray:
+        """The index of each piece of ``raw``; they start at ``at``."""
+        lengths = np.diff(at, append=len(raw))
+        out = np.full(len(at), -1, np.int64)
+        short = np.flatnonzero(lengths <= SHORT)
+        words = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))[at[short]]
+        keys = (words & _MASKS[lengths[short]]) | (lengths[short].astype(np.uint64) << np.uint64(56))
+        out[short] = self._slots.find(keys)
+        rest = np.flatnonzero(out < 0)
+        begins = at[rest].tolist()
+        pieces = map(raw.__getitem__, map(slice, begins, (at[rest] + lengths[rest]).tolist()))
+        out[rest] = np.fromiter(map(self._pieces.__getitem__, pieces), np.int64, len(rest))
+        new = np.flatnonzero(np.isin(short, rest, assume_unique=True)) if len(rest) else rest
+        if len(new):
+            self._slots.add(keys[new], out[short[new]])
+        return out
 
     def _encode_points(self, raw: bytes, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of concatenated non-empty texts, and how many each has. raw: the same as UTF-8."""
@@ -101,9 +158,7 @@ class ByteBpe:
             at = starts
         else:
             at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[starts]
-        cuts = at.tolist()
-        pieces = map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))
-        index = np.fromiter(map(self._pieces.__getitem__, pieces), np.int64, len(cuts))
+        index = self._index(raw, at)
         self._tables = pool, bounds = self._pieces.tables(self._tables)
         begin, lengths = bounds.take(index), (bounds[1:] - bounds[:-1]).take(index)
         ids = gather(pool, begin, lengths)
