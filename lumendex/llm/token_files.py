@@ -14,7 +14,7 @@ text; u64 bit offsets of the checkpoints; the codes, most significant bit first.
 The counts come from a first pass that leaves the ids, packed, in the shared folder; the
 second pass orders them by key (a range exchange, no single task) and writes.
 Files appear by Spark's commit protocol. Null texts count as empty; rows with a null key come first;
-equal keys keep one record each, ordered by their ids. Empty tables give no rows.
+rows of equal keys are kept each, in the order of their packed ids. Empty tables give no rows.
 """
 
 from __future__ import annotations
