@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, common, prefix_counts, token_files, topk, toxicity, url_filter, warc
+from . import byte_bpe, chat, common, jaccard_join, prefix_counts, token_files, topk, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.table(spark, sf_dir, "pages"), RULES)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(common.table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & topk.usable("embedding"))
     vectors = rows.select(F.col("vec_id").cast("bigint").alias("id"), topk.quantised("embedding", 256).alias("v"))
@@ -68,6 +72,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filters": op1_url_filters,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
