@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, common, jaccard_join, prefix_counts, token_files, topk, toxicity, url_filter, warc
+from . import byte_bpe, chat, common, decontaminate, jaccard_join, prefix_counts, token_files, topk, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
