@@ -1 +1 @@
-"""A Spark-native full-text search engine."""
+"""Column functions: text analysis and BM25."""

@@ -1 +1 @@
-"""A Spark-native full-text search engine."""
+"""Queries, matching and the inverted index."""

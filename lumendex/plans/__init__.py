@@ -1 +1 @@
-"""A Spark-native full-text search engine."""
+"""From a query to a plan, and the registered queries."""

@@ -1,6 +1,321 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries and their SQL.
+
+Comparisons with SQL use double precision, scores rounded to six digits, and rank by the rounded score, then by rowid.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import analysis
+from ..functions.bm25 import Bm25
+from ..operators.index import Index, build_postings
+from ..operators.query import All, SearchOptions, query
+from . import search as planner
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- corpora -------------------------------------------------------------------------------
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> Index:
+    return Index.of(_table(spark, sf_dir, "documents"), "doc_id", ["text"])
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> Index:
+    return Index.of(_table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"])
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations: all documents; every third replaced by another's text; every seventh deleted."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rowid"), "text")
+    first = docs.select("rowid", F.lit(1).cast("bigint").alias("generation"), F.lit("upsert").alias("op"), "text")
+    second = docs.where("rowid % 3 = 0").select("rowid", F.lit(2).cast("bigint").alias("generation"), F.lit("upsert").alias("op"), F.concat(F.lit("replaced the "), F.substring("text", 1, 200)).alias("text"))
+    third = docs.where("rowid % 7 = 0").select("rowid", F.lit(3).cast("bigint").alias("generation"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"))
+    return first.union(second).union(third)
+
+
+def _live(log: DataFrame) -> DataFrame:
+    newest = log.groupBy("rowid").agg(F.max_by(F.struct("op", "text", "generation"), "generation").alias("d"))
+    return newest.where("d.op = 'upsert'").select("rowid", "d.generation", F.col("d.text").alias("text"))
+
+
+# -- SQL building blocks -------------------------------------------------------------------
+
+_TOKENS = r"""regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')"""
+_DOCS = "docs AS (SELECT doc_id AS rowid, 0 AS field, " + _TOKENS.format(text="text") + " AS toks FROM documents)"
+_PARTS = (
+    "docs AS (SELECT p_partkey AS rowid, 0 AS field, " + _TOKENS.format(text="p_name") + " AS toks FROM part "
+    "UNION ALL SELECT p_partkey, 1, " + _TOKENS.format(text="p_type") + " FROM part)"
+)
+_LIVE_DOCS = (
+    "log AS (SELECT doc_id AS rowid, 1 AS gen, 'upsert' AS op, text FROM documents "
+    "UNION ALL SELECT doc_id, 2, 'upsert', 'replaced the ' || substr(text, 1, 200) FROM documents WHERE doc_id % 3 = 0 "
+    "UNION ALL SELECT doc_id, 3, 'delete', NULL FROM documents WHERE doc_id % 7 = 0), "
+    "newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY rowid ORDER BY gen DESC) = 1), "
+    "docs AS (SELECT rowid, 0 AS field, " + _TOKENS.format(text="text") + " AS toks FROM newest WHERE op = 'upsert')"
+)
+
+
+def _ranked(corpus: str, match: str, scoring: str, k1: float = 1.2, b: float = 0.75, limit: int = 20, extra: str = "") -> str:
+    """BM25 over a corpus. match: condition on ``lens`` l; scoring: condition on ``term``; without one, scores are 0."""
+    return f"""
+WITH {corpus},
+occ AS (SELECT rowid, field, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM docs),
+lens AS (SELECT rowid, sum(len(toks)) AS dl FROM docs GROUP BY rowid),
+stats AS (SELECT count(*) AS n, greatest(sum(dl) / count(*), 1.0) AS avgdl FROM lens),
+tf AS (SELECT term, rowid, count(*) AS tf FROM occ WHERE {scoring} GROUP BY term, rowid),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scores AS (
+  SELECT tf.rowid, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS s
+  FROM tf JOIN df USING (term) JOIN lens ON lens.rowid = tf.rowid CROSS JOIN stats GROUP BY tf.rowid){extra}
+SELECT l.rowid AS rowid, round(coalesce(s, 0.0), 6) AS score FROM lens l LEFT JOIN scores USING (rowid)
+WHERE {match} ORDER BY score DESC, rowid LIMIT {limit}"""
+
+
+def _has(condition: str) -> str:
+    return f"l.rowid IN (SELECT rowid FROM occ WHERE {condition})"
+
+
+_SCORED = "s IS NOT NULL"
+
+
+def _search(index: Index, q, limit: int = 20, exhaustive: bool = False, **options) -> DataFrame:
+    return planner.search_df(index, q, SearchOptions(limit=limit, **options), exhaustive, fields=False, precision="double", digits=6)
+
+
+# -- text analysis and index ---------------------------------------------------------------
+
+
+@registered("WITH " + _DOCS + " SELECT unnest(toks) AS term, count(*) AS occurrences FROM docs GROUP BY 1")
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.explode(analysis.tokens(F.col("text"))).alias("term"))
+    return docs.groupBy("term").agg(F.count("*").alias("occurrences"))
+
+
+@registered("WITH " + _DOCS + " SELECT rowid, len(toks) AS doc_len FROM docs")
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).docs.select("rowid", F.col("doc_len").cast("bigint").alias("doc_len"))
+
+
+@registered("WITH " + _DOCS + ", t AS (SELECT DISTINCT rowid, unnest(toks) AS term FROM docs) SELECT term, count(*) AS df FROM t GROUP BY term")
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@registered("WITH " + _DOCS + " SELECT count(*) AS live_docs, sum(len(toks))::BIGINT AS total_doc_len, round(sum(len(toks)) / count(*), 6) AS avgdl FROM docs")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).docs
+    return docs.agg(F.count("*").alias("live_docs"), F.sum("doc_len").alias("total_doc_len"), F.round(F.sum("doc_len") / F.count("*"), 6).alias("avgdl"))
+
+
+@registered(
+    "WITH " + _DOCS + ", occ AS (SELECT rowid, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM docs) "
+    "SELECT term, rowid, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM occ WHERE term IN ('the', 'of', 'tion') GROUP BY term, rowid"
+)
+def postings_tf_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).needed({"the", "of", "tion"}, set())
+    return rows.select("term", "rowid", F.col("tf").cast("bigint").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@registered(
+    "WITH " + _DOCS + ", t AS (SELECT DISTINCT rowid, unnest(toks) AS term FROM docs), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM docs) "
+    "SELECT term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d, n"
+)
+def idf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _documents(spark, sf_dir)
+    scorer = Bm25(1.2, 0.75, *index.totals, "double")
+    df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    return df.select("term", F.round(scorer.idf(F.col("df")), 6).alias("idf"))
+
+
+# -- boolean queries -----------------------------------------------------------------------
+
+
+@registered(_ranked(_DOCS, _SCORED, "term = 'the'"))
+def search_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.term("The"))
+
+
+@registered(_ranked(_DOCS, _SCORED, "term IN ('the', 'of', 'tion')"))
+def search_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.or_([query.term(t) for t in ("the", "of", "tion")]))
+
+
+@registered(_ranked(_DOCS, " AND ".join(_has(f"term = '{t}'") for t in ("the", "of", "tion")), "term IN ('the', 'of', 'tion')"))
+def search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.and_([query.term(t) for t in ("the", "of", "tion")]))
+
+
+@registered(_ranked(_DOCS, _SCORED, "starts_with(term, 'thre')"))
+def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.prefix("thre"))
+
+
+@registered(_ranked(_DOCS, _has("term = 'the'") + " AND NOT " + _has("term = 'of'"), "term = 'the'"))
+def search_and_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.and_([query.term("the"), query.negate(query.term("of"))]))
+
+
+@registered(_ranked(_DOCS, "NOT " + _has("term = 'the'"), "false"))
+def search_not_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.negate(query.term("the")))
+
+
+@registered(_ranked(_DOCS, _has("term = 'the'"), "false"))
+def search_double_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.negate(query.negate(query.term("the"))))
+
+
+@registered(_ranked(_DOCS, "true", "false"))
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), All())
+
+
+@registered(_ranked(_DOCS, "true", "false"))
+def search_empty_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.and_([]))
+
+
+@registered(_ranked(_DOCS, "false", "false"))
+def search_empty_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.or_([]))
+
+
+@registered(_ranked(_DOCS, _SCORED + " AND (starts_with_p OR NOT has_of)".replace("starts_with_p", _has("starts_with(term, 'thre')")).replace("has_of", _has("term = 'of'")), "starts_with(term, 'thre')", limit=1000000))
+def search_or_not_scored_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.or_([query.prefix("thre"), query.negate(query.term("of"))]), limit=1_000_000)
+
+
+@registered(_ranked(_DOCS, "(" + _has("starts_with(term, 'thre')") + " OR NOT " + _has("term = 'of'") + ")", "starts_with(term, 'thre')", limit=1000000))
+def search_or_not_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.or_([query.prefix("thre"), query.negate(query.term("of"))]), limit=1_000_000, exhaustive=True)
+
+
+@registered(_ranked(_DOCS, "((" + _has("term = 'the'") + " AND " + _has("term = 'tion'") + ") OR " + _has("term = 'of'") + ")", "term IN ('the', 'tion', 'of')", limit=50))
+def search_mixed_tree_global_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = query.or_([query.and_([query.term("the"), query.term("tion")]), query.term("of")])
+    return _search(_documents(spark, sf_dir), tree, limit=50)
+
+
+@registered(_ranked(_DOCS, _SCORED, "term IN ('the', 'of')", k1=0.4, b=0.0))
+def search_k1_b_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.or_([query.term("the"), query.term("of")]), k1=0.4, b=0.0)
+
+
+# -- positional queries --------------------------------------------------------------------
+
+_AFTER = "l.rowid IN (SELECT a.rowid FROM occ a JOIN occ b ON a.rowid = b.rowid AND a.field = b.field AND {how} WHERE a.term = '{a}' AND b.term = '{b}'{more})"
+
+
+@registered(_ranked(_DOCS, _AFTER.format(how="b.pos = a.pos + 1", a="of", b="the", more=""), "term IN ('of', 'the')"))
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.phrase(["of", "the"]))
+
+
+@registered(_ranked(_DOCS, _AFTER.format(how="abs(b.pos - a.pos) <= 3", a="of", b="tion", more=""), "term IN ('of', 'tion')"))
+def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.near(["of", "tion"], 3))
+
+
+@registered(_ranked(_DOCS, _AFTER.format(how="b.pos > a.pos AND b.pos - a.pos <= 2", a="of", b="of", more=""), "term = 'of'"))
+def search_near_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_documents(spark, sf_dir), query.near(["of", "of"], 2))
+
+
+@registered(_ranked(_PARTS, _has("field = 1 AND term IN (SELECT min(term) FROM occ WHERE field = 1)"), "term IN (SELECT min(term) FROM occ WHERE field = 1)"))
+def search_column_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _parts(spark, sf_dir)
+    rare = _table(spark, sf_dir, "part").select(F.explode(analysis.tokens(F.col("p_type"))).alias("t")).agg(F.min("t")).first()[0]
+    return _search(index, query.column(1, query.term(rare)))
+
+
+@registered(_ranked(_PARTS, "NOT " + _has("field = 0 AND starts_with(term, 'b')"), "false", limit=1000000))
+def search_column_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_parts(spark, sf_dir), query.column(0, query.negate(query.prefix("b"))), limit=1_000_000)
+
+
+@registered(
+    _ranked(
+        _PARTS,
+        "l.rowid IN (SELECT a.rowid FROM occ a JOIN occ b ON a.rowid = b.rowid AND a.field = b.field AND b.pos = a.pos + 1, pair p WHERE a.field = 0 AND a.term = p.x AND b.term = p.y)",
+        "term IN (SELECT x FROM pair UNION SELECT y FROM pair)",
+    ).replace("lens AS", "pair AS (SELECT toks[1] AS x, toks[2] AS y FROM docs WHERE field = 0 ORDER BY rowid LIMIT 1),\nlens AS", 1)
+)
+def search_column_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _table(spark, sf_dir, "part").orderBy("p_partkey").select(analysis.tokens(F.col("p_name")).alias("t")).first().t
+    return _search(_parts(spark, sf_dir), query.column(0, query.phrase(first[:2])))
+
+
+@registered(_ranked(_PARTS, "false", "false"))
+def search_column_nested_false(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_parts(spark, sf_dir), query.column(0, query.column(1, query.prefix(""))))
+
+
+@registered(_ranked(_PARTS, _SCORED, "starts_with(term, 's')", limit=300))
+def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_parts(spark, sf_dir), query.prefix("s"), limit=300)
+
+
+@registered("SELECT * FROM (VALUES (7::BIGINT, '全文'), (8::BIGINT, '全文')) t(rowid, hit)")
+def cjk_bigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([(7, ["这是全文检索数据库"]), (8, ["x", "全文"]), (9, ["全", "文"])], "rowid long, fields array<string>")
+    return _search(Index.of(docs), query.term("全文")).select("rowid", F.lit("全文").alias("hit"))
+
+
+# -- versions ------------------------------------------------------------------------------
+
+_NEWEST = _LIVE_DOCS[: _LIVE_DOCS.index(", docs AS")]
+
+
+@registered("WITH " + _NEWEST + " SELECT rowid, gen::BIGINT AS generation, md5(text) AS digest FROM newest WHERE op = 'upsert'")
+def upsert_delete_visible_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live(_log(spark, sf_dir)).select("rowid", "generation", F.md5("text").alias("digest"))
+
+
+@registered(_ranked(_LIVE_DOCS, _SCORED, "term IN ('replaced', 'of')"))
+def search_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = Index.of(_live(_log(spark, sf_dir)), "rowid", ["text"])
+    return _search(index, query.or_([query.term("replaced"), query.term("of")]))
+
+
+@registered(_ranked(_LIVE_DOCS, _SCORED, "term IN ('replaced', 'of')"))
+def search_live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, from postings of all generations, of which the live ones are kept (as compaction does), none made anew."""
+    log = _log(spark, sf_dir)
+    docs = log.where("op = 'upsert'").select("rowid", "generation", F.array("text").alias("fields"))
+    live = _live(log).select("rowid", "generation", F.array("text").alias("fields"))
+    kept = build_postings(docs, "generation").join(live.select("rowid", "generation"), ["rowid", "generation"], "left_semi").drop("generation")
+    index = Index(live.select("rowid", "fields", F.size(analysis.tokens(F.col("fields")[0])).alias("doc_len")), kept)
+    return _search(index, query.or_([query.term("replaced"), query.term("of")]))
+
+
+@registered("SELECT doc_id AS rowid, text FROM documents WHERE doc_id = 42")
+def get_by_rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where("doc_id = 42").select(F.col("doc_id").alias("rowid"), "text")
+
+
+@registered("WITH " + _NEWEST + " SELECT rowid, op, gen::BIGINT AS generation FROM newest")
+def last_op_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("generation")))
+    return _log(spark, sf_dir).withColumn("r", last).where("r = 1").select("rowid", "op", "generation")

@@ -1 +1 @@
-"""A Spark-native full-text search engine."""
+"""The versioned document store."""

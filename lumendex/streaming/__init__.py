@@ -1 +1 @@
-"""A Spark-native full-text search engine."""
+"""Ingest from Structured Streaming."""
