@@ -262,7 +262,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
         "alone", "rep", "copies", "s",
     )
     own_text = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("t"))
-    placed = own_text.join(dealt, "rep").repartition("comp", "cls", "block").sortWithinPartitions("comp", "cls", "block", "rep", "s")
+    # Always by a shuffle: the members grow with the texts.
+    placed = own_text.join(dealt.hint("merge"), "rep").repartition("comp", "cls", "block").sortWithinPartitions("comp", "cls", "block", "rep", "s")
     first = common.durable(_gather(placed, size, threshold), "verified")
     links = first.where("rep is not null").select("rep", "links", "root")
     blocks = first.where("data is not null").select("comp", "cls", "block", "data")
@@ -282,7 +283,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The document with the smallest key of each class, one row of it, and rows without a key."""
     found = common.durable(join(docs, key, text), "classes")
     gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).cast(docs.schema[key].dataType).alias(key))
-    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)
     repeated = docs.where(F.col(key).isNotNull()).count() > found.count()
     if not repeated:
         return kept
