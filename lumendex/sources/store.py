@@ -197,6 +197,8 @@ class Database:
 
         batch: a stream's name and batch number; a batch that was committed before isn't again.
         """
+        if self._newest().format_version == 1:
+            self.optimize()
         commit = uuid.uuid4().hex
         folder = f"commits/{commit}"
         rows = indexing.with_lengths(ops.select("rowid", "op", "fields")).withColumn("commit", F.lit(commit))
@@ -213,8 +215,6 @@ class Database:
             generation = now.generation + 1
             return replace(now, generation=generation, format_version=FORMAT, commits=(*now.commits, (folder, generation)), batches=tuple(sorted(done.items())))
 
-        if self._newest().format_version == 1:
-            self.optimize()
         return self._publish(add).generation
 
     def upsert_df(self, df: DataFrame, rowid: str, fields: list[str] | str, batch: tuple[str, int] | None = None) -> int:
@@ -246,17 +246,23 @@ class Database:
         self._publish(swap)
         self.vacuum()
 
-    def vacuum(self) -> None:
-        """Delete manifests but the newest, and folders that it doesn't name. Other handles must refresh; no commit may be under way."""
+    def vacuum(self, orphans: bool = False) -> None:
+        """Delete older manifests and the folders that only they name. Other handles must refresh.
+
+        orphans: also folders that no manifest names, as failed commits leave; then no commit may be under way.
+        """
         now = self._newest()
+        used = {now.base, *[p for p, _ in now.commits]}
+        gone: set[str] = set()
         for name in self.files.names("_manifest"):
-            if name != f"{now.number:020d}.json":
+            if name.endswith(".json") and name < f"{now.number:020d}.json":
+                old = Manifest.from_bytes(self.files.read(f"_manifest/{name}"))
+                gone |= {p for p in (old.base, *[p for p, _ in old.commits]) if p and p not in used}
                 self.files.delete(f"_manifest/{name}")
-        used = {now.base, *[p for p, _ in now.commits]}
-        for kind in ("base", "commits"):
-            for name in self.files.names(kind):
-                if f"{kind}/{name}" not in used:
-                    self.files.delete(f"{kind}/{name}")
+        if orphans:
+            gone |= {f"{kind}/{name}" for kind in ("base", "commits") for name in self.files.names(kind) if f"{kind}/{name}" not in used}
+        for folder in sorted(gone):
+            self.files.delete(folder)
 
     def verify(self) -> None:
         """Check the stored index against the stored documents; Corrupt if they disagree."""
