@@ -12,7 +12,7 @@ import numpy as np
 
 from . import scan
 
-CHUNK = 1_000_000
+CHUNK = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
@@ -37,11 +37,20 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class Spans:
+    """Hashes of any spans of an array of code points, from running sums."""
+
+    def __init__(self, points: np.ndarray):
+        powers, self._back = power_tables(len(points) + 1)
+        self._sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)], out=self._sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self._sums[ends] - self._sums[starts]) * self._back[starts])
+
+
 def _span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    powers, back = power_tables(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * back[starts])
+    return Spans(points).hashes(starts, ends)
 
 
 def word_hashes(text: str) -> np.ndarray:

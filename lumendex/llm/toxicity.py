@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scan
+from . import common, scan, shingles
 
 #: Rows of each class in the sample, features of the model, word beginnings in characters, rows and strength that a feature needs.
 SAMPLE, FEATURES, PREFIXES, LEAST_ROWS, LEAST_Z = 6000, 4096, (4, 5), 4, 4.0
 #: Weights of the counterfactual penalty and of the squared weights, steps of training.
 PENALTY, RIDGE, STEPS = 1.0, 1e-4, 400
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 #: Terms for groups of people; a term is swapped for the next of its row.
 IDENTITIES = (
@@ -41,43 +41,18 @@ IDENTITIES = (
 _SWAP = {w: row[(k + 1) % len(row)] for row in IDENTITIES for k, w in enumerate(row)}
 _WORD = re.compile(r"\w+")
 
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < size:
-        out = []
-        for base in (_BASE, _BACK):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
-        _powers = (out[0], out[1])
-    return _powers
-
-
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    h = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-
-
 def _hashes(joined: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and word beginnings, and the code point where each word starts."""
     points = scan.code_points(joined)
     letters = scan.class_table()[points] == scan.LETTER
     edges = np.diff(letters.view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    powers, back = _power_tables(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)], out=sums[1:])
-    base, shift = sums[starts], back[starts]
-    hashes, at = [_mixed((sums[ends] - base) * shift, 0)], [starts]
+    spans = shingles.Spans(points)
+    hashes, at = [spans.hashes(starts, ends)], [starts]
     for n in PREFIXES:
-        longer = ends - starts > n
-        hashes.append(_mixed((sums[starts[longer] + n] - base[longer]) * shift[longer], n))
-        at.append(starts[longer])
+        longer = starts[ends - starts > n]
+        hashes.append(shingles.mixed(spans.hashes(longer, longer + n), n))
+        at.append(longer)
     return np.concatenate(hashes), np.concatenate(at)
 
 
@@ -198,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("t", "y")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             y = np.array(batch.column(1).to_pylist(), np.int64)
             for rows, hashes in features(batch.column(0).to_pylist()):
                 values, place = np.unique(hashes, return_inverse=True)
@@ -228,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     out[r].append(f)
             return out
 
-        for batch in batches:
+        for batch in common.slices(batches):
             some = [t or "" for t in batch.column(0).to_pylist()]
             other = [swapped(t) for t in some]
             own, changed = lists(some), lists(other)
@@ -251,8 +226,10 @@ def score(text: Column, model: Model, docs: DataFrame) -> Column:
 
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
-        z = shared.value.logits(column.to_pylist())
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        parts = [shared.value.logits(column.slice(k, 500).to_pylist()) for k in range(0, len(column), 500)]
+        z = np.concatenate(parts) if parts else np.empty(0)
+        with np.errstate(over="ignore"):
+            return pa.array(1 / (1 + np.exp(-z)))
 
     return run(text)
 
