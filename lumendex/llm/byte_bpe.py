@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from . import scan
+from . import common, scan
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points that are worked on at once, and pieces that a worker remembers.
@@ -39,30 +39,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-class _Pieces(dict):
-    """Piece to its index in the pool of ids; a piece that isn't there is merged when asked for."""
+class _Pool:
+    """Ids of the pieces that were merged, in the order of their first use."""
 
-    def __init__(self, merge):
-        super().__init__()
+    def __init__(self, merge: Callable[[bytes], list[int]]):
         self.merge, self.ids, self.ends = merge, [], [0]
+        self._tables = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def __missing__(self, piece: bytes) -> int:
+    def learn(self, piece: bytes) -> None:
         self.ids += self.merge(piece)
         self.ends.append(len(self.ids))
-        self[piece] = at = len(self.ends) - 2
-        return at
 
-    def tables(self, old: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-        """The pool of ids and the ends of its pieces; ``old`` are those of an earlier call."""
-        if old is None:
-            return np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
-        ids, ends = old
-        if len(ends) == len(self.ends):
-            return old
-        return (
-            np.concatenate([ids, np.array(self.ids[len(ids) :], np.uint32)]),
-            np.concatenate([ends, np.array(self.ends[len(ends) :], np.int64)]),
-        )
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pool of ids, and where each piece's end."""
+        ids, ends = self._tables
+        if len(ends) < len(self.ends):
+            ids = np.concatenate([ids, np.array(self.ids[len(ids) :], np.uint32)])
+            ends = np.concatenate([ends, np.array(self.ends[len(ends) :], np.int64)])
+            self._tables = ids, ends
+        return self._tables
+
+
+class _Known(dict):
+    def __init__(self, learn: Callable[[bytes], None]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: bytes) -> int:
+        self.learn(piece)
+        self[piece] = at = len(self)
+        return at
 
 
 class _Slots:
@@ -101,6 +107,32 @@ class _Slots:
                     break
 
 
+class PieceIndex:
+    """Numbers pieces by first use, calling ``learn`` for each new one."""
+
+    def __init__(self, learn: Callable[[bytes], None]):
+        self._known, self._slots = _Known(learn), _Slots()
+
+    def __len__(self) -> int:
+        return len(self._known)
+
+    def find(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each piece raw[starts[i] : ends[i]]."""
+        lengths = ends - starts
+        out = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(lengths <= SHORT)
+        words = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))[starts[short]] if len(raw) else np.empty(0, np.uint64)
+        keys = (words & _MASKS[lengths[short]]) | (lengths[short].astype(np.uint64) << np.uint64(56))
+        out[short] = self._slots.find(keys)
+        rest = np.flatnonzero(out < 0)
+        pieces = map(raw.__getitem__, map(slice, starts[rest].tolist(), ends[rest].tolist()))
+        out[rest] = np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(rest))
+        new = np.flatnonzero(np.isin(short, rest, assume_unique=True)) if len(rest) else rest
+        if len(new):
+            self._slots.add(keys[new], out[short[new]])
+        return out
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """pool[starts[i] : starts[i] + lengths[i]] for all i, joined."""
     total = int(lengths.sum())
@@ -131,24 +163,8 @@ class ByteBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self._pieces, self._tables, self._slots = _Pieces(self._merge), None, _Slots()
-
-    def _index(self, raw: bytes, at: np.ndarray) -> np.ndarray:
-        """The index of each piece of ``raw``; they start at ``at``."""
-        lengths = np.diff(at, append=len(raw))
-        out = np.full(len(at), -1, np.int64)
-        short = np.flatnonzero(lengths <= SHORT)
-        words = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))[at[short]]
-        keys = (words & _MASKS[lengths[short]]) | (lengths[short].astype(np.uint64) << np.uint64(56))
-        out[short] = self._slots.find(keys)
-        rest = np.flatnonzero(out < 0)
-        begins = at[rest].tolist()
-        pieces = map(raw.__getitem__, map(slice, begins, (at[rest] + lengths[rest]).tolist()))
-        out[rest] = np.fromiter(map(self._pieces.__getitem__, pieces), np.int64, len(rest))
-        new = np.flatnonzero(np.isin(short, rest, assume_unique=True)) if len(rest) else rest
-        if len(new):
-            self._slots.add(keys[new], out[short[new]])
-        return out
+        self._pool = _Pool(self._merge)
+        self._index = PieceIndex(self._pool.learn)
 
     def _encode_points(self, raw: bytes, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of concatenated non-empty texts, and how many each has. raw: the same as UTF-8."""
@@ -158,12 +174,12 @@ class ByteBpe:
             at = starts
         else:
             at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[starts]
-        index = self._index(raw, at)
-        self._tables = pool, bounds = self._pieces.tables(self._tables)
+        index = self._index.find(raw, at, np.append(at[1:], len(raw)))
+        pool, bounds = self._pool.tables()
         begin, lengths = bounds.take(index), (bounds[1:] - bounds[:-1]).take(index)
         ids = gather(pool, begin, lengths)
         counts = np.add.reduceat(lengths, first) if len(first) else np.empty(0, np.int64)
-        if len(self._pieces) > REMEMBERED:
+        if len(self._index) > REMEMBERED:
             self._forget()
         return ids, counts
 
@@ -257,7 +273,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, end in groups(texts):
                 ids, counts = bpe.encode_batch(texts[begin:end])
@@ -296,7 +312,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, end in groups(texts):
                 ids, counts = bpe.encode_batch(texts[begin:end])

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import normalizers
 
-from . import scan
+from . import byte_bpe, common, scan
 
 VOCABULARY = "word_bpe_49k.json"
-CHUNK, REMEMBERED = 2_000_000, 400_000
+CHUNK, REMEMBERED = 1_000_000, 500_000
 #: The English contractions that are words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -123,49 +123,69 @@ class WordTables:
             return (0, 1, *[1 + self.table(word[1:k])[-1] for k in range(2, len(word))], self._counts(word)[-1])
         return self._counts(word)
 
-    def _counts(self, word: str) -> tuple[int, ...]:
+    def _letters(self, word: str) -> tuple[str, list[int]]:
+        """The word in the vocabulary's letters, and how many of them each prefix in code points has."""
         if word.isascii() and word.isprintable():
-            letters, stops = word, range(1, len(word) + 1)
-        else:
-            encoded = [c.encode() for c in word]
-            letters = "".join(self.letters[b] for c in encoded for b in c)
-            stops, at = [], 0
-            for c in encoded:
-                at += len(c)
-                stops.append(at)
-        size, longest, end, vocabulary = len(letters), self.longest, self.end, self.vocabulary
+            return word, list(range(len(word) + 1))
+        encoded = [c.encode() for c in word]
+        stops = [0]
+        for c in encoded:
+            stops.append(stops[-1] + len(c))
+        return "".join(self.letters[b] for c in encoded for b in c), stops
+
+    def _open(self, letters: str) -> tuple[list[str], list[int]]:
+        """For each prefix, as the beginning of a longer word, its last token and its number of tokens."""
+        size, longest, vocabulary, fits, made = len(letters), self.longest, self.vocabulary, self._fits, self._made
         last, count = [""] * (size + 1), [0] * (size + 1)
-        ended = [0] * (size + 1)
         for i in range(1, size + 1):
-            open_, closed = True, True
             for j in range(max(0, i - longest), i):
                 token = letters[j:i]
-                if open_ and token in vocabulary and (not j or self.fits(last[j], token)) and self.made_of(token):
-                    last[i], count[i], open_ = token, count[j] + 1, False
-                token += end
-                if closed and token in vocabulary and (not j or self.fits_made(last[j], token)):
-                    ended[i], closed = count[j] + 1, False
-                if not open_ and not closed:
-                    break
-        return (0, *[ended[k] for k in stops])
+                if token in vocabulary:
+                    if j:
+                        good = fits.get((last[j], token))
+                        if not (self.fits(last[j], token) if good is None else good):
+                            continue
+                    if (made[token] if token in made else self.made_of(token)) is not None:
+                        last[i], count[i] = token, count[j] + 1
+                        break
+        return last, count
+
+    def _closed(self, letters: str, last: list[str], count: list[int], i: int) -> int:
+        """Tokens of the first i letters as a whole word: one that ends a word, after a beginning that it fits."""
+        for j in range(max(0, i - self.longest), i):
+            token = letters[j:i] + self.end
+            if token in self.vocabulary and (not j or self.fits(last[j], token)) and self.made_of(token) is not None:
+                return count[j] + 1
+        return 0
+
+    def _counts(self, word: str) -> tuple[int, ...]:
+        letters, stops = self._letters(word)
+        last, count = self._open(letters)
+        return tuple(self._closed(letters, last, count, i) for i in stops)
 
-    def fits_made(self, left: str, token: str) -> bool:
-        return self.made_of(token) is not None and self.fits(left, token)
+    def total(self, word: str) -> int:
+        """The count of the whole piece alone."""
+        letters, _ = self._letters(word)
+        last, count = self._open(letters)
+        return self._closed(letters, last, count, len(letters))
 
 
-class _Words(dict):
-    """Word to its place in ``tables``; filled when asked."""
+class _Totals:
+    """Words in the order of their first use, with their token counts."""
 
-    def __init__(self, table):
-        super().__init__()
-        self.make, self.tables, self.totals = table, [], []
+    def __init__(self, count: Callable[[str], int]):
+        self.count, self.words, self._totals = count, [], []
+        self._table = np.empty(0, np.int64)
 
-    def __missing__(self, word: str) -> int:
-        made = self.make(word)
-        self.tables.append(made)
-        self.totals.append(made[-1])
-        self[word] = at = len(self.totals) - 1
-        return at
+    def learn(self, piece: bytes) -> None:
+        word = piece.decode()
+        self.words.append(word)
+        self._totals.append(self.count(word))
+
+    def table(self) -> np.ndarray:
+        if len(self._table) < len(self._totals):
+            self._table = np.concatenate([self._table, np.array(self._totals[len(self._table) :], np.int64)])
+        return self._table
 
 
 @dataclass
@@ -200,7 +220,11 @@ class Counter:
 
     def __init__(self, path: str | None = None):
         self.words = WordTables(path)
-        self._known = _Words(self.words.table)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known = _Totals(self.words.total)
+        self._index = byte_bpe.PieceIndex(self._known.learn)
 
     def _plain(self, text: str) -> str:
         if text.isascii() or (max(text) < "ɐ" and "İ" not in text):
@@ -231,11 +255,10 @@ class Counter:
         """Start and place in the tables of each piece that isn't white space."""
         points = scan.code_points(joined)
         starts = scan.pieces_starts(points, ends, scan.words_only())
-        stops = np.append(starts[1:], len(points))
+        raw = joined.encode("utf-8", "replace")
+        at = starts if len(raw) == len(points) else np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[starts]
         solid = scan.class_table()[points[starts]] < scan.SPACE
-        starts, stops = starts[solid], stops[solid]
-        words = map(joined.__getitem__, map(slice, starts.tolist(), stops.tolist()))
-        return starts, np.fromiter(map(self._known.__getitem__, words), np.int64, len(starts))
+        return starts[solid], self._index.find(raw, at[solid], np.append(at[1:], len(raw))[solid])
 
     def prefix_table(self, text: str | None) -> PrefixTable:
         starts, before, pieces, at, total = [], [], [], 0, 0
@@ -252,16 +275,16 @@ class Counter:
                 for s, k in zip(found.tolist(), index.tolist(), strict=True):
                     starts.append(at + s)
                     before.append(total)
-                    pieces.append(self._known.tables[k])
-                    total += self._known.totals[k]
+                    pieces.append(self.words.table(self._known.words[k]))
+                    total += pieces[-1][-1]
             at += len(part)
         return PrefixTable(starts, before, pieces, at, total)
 
     def budgets(self, texts: list[str | None], budget: int) -> tuple[np.ndarray, np.ndarray]:
         """Total tokens of each text, and its longest prefix (in code points) within the budget."""
         totals, fitting = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        if len(self._known) > REMEMBERED:
-            self._known = _Words(self.words.table)
+        if len(self._index) > REMEMBERED:
+            self._forget()
         waiting: list[str] = []
         owners: list[int] = []
 
@@ -270,7 +293,7 @@ class Counter:
                 return
             ends = np.cumsum([len(w) for w in waiting])
             starts, index = self._pieces("".join(waiting), ends)
-            each = np.array(self._known.totals, np.int64)[index]
+            each = self._known.table().take(index)
             sums = np.concatenate([[0], np.cumsum(each)])
             cuts = np.searchsorted(starts, np.concatenate([[0], ends]))
             begins = np.concatenate([[0], ends[:-1]])
@@ -279,7 +302,7 @@ class Counter:
                 totals[k], fitting[k] = total, size
                 if total > budget:
                     p = int(np.searchsorted(sums[a : b + 1], sums[a] + budget, "right")) - 1 + a
-                    own, left = self._known.tables[index[p]], budget - int(sums[p] - sums[a])
+                    own, left = self.words.table(self._known.words[index[p]]), budget - int(sums[p] - sums[a])
                     fitting[k] = starts[p] - begin + max(i for i, c in enumerate(own) if c <= left)
             waiting.clear()
             owners.clear()
@@ -316,7 +339,7 @@ def count_tokens(df: DataFrame, limit: int, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(1).to_pylist()
             totals, fitting = count.budgets(texts, limit)
             sizes = np.array([len(t.encode()) if t else 0 for t in texts], np.int64)
