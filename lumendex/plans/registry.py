@@ -14,6 +14,7 @@ from ..functions import analysis
 from ..functions.bm25 import Bm25
 from ..operators.index import Index, build_postings
 from ..operators.query import All, SearchOptions, query
+from . import batch
 from . import search as planner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +284,16 @@ def cjk_bigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(Index.of(docs), query.term("全文")).select("rowid", F.lit("全文").alias("hit"))
 
 
+_BATCH = {0: "search_term", 1: "search_and_not", 2: "search_prefix", 3: "search_phrase", 4: "search_not_only"}
+
+
+@registered(" UNION ALL ".join(f"SELECT {k}::BIGINT AS query_id, row_number() OVER (ORDER BY score DESC, rowid) AS rank, rowid, score FROM ({ORACLES[n]})" for k, n in _BATCH.items()))
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = [query.term("the"), query.and_([query.term("the"), query.negate(query.term("of"))]), query.prefix("thre"), query.phrase(["of", "the"]), query.negate(query.term("the"))]
+    found = batch.search_many(_documents(spark, sf_dir), dict(enumerate(trees)), SearchOptions(limit=20), precision="double", digits=6)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "rowid", "score")
+
+
 # -- versions ------------------------------------------------------------------------------
 
 _NEWEST = _LIVE_DOCS[: _LIVE_DOCS.index(", docs AS")]
