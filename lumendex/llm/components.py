@@ -56,7 +56,8 @@ def _contract(edges: DataFrame) -> DataFrame:
 
 
 def _smallest_neighbour(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a").agg(F.min("b").alias("least"))
+    """Written apart: joined as it stands, it would share its exchange with the pairs, whose hubs Spark then couldn't split."""
+    return common.durable(pairs.groupBy("a").agg(F.min("b").alias("least")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

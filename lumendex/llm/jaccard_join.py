@@ -34,7 +34,7 @@ from . import common, components, shingles
 
 SIZE, THRESHOLD, RECALL, MOST_HASHES = 5, Fraction(4, 5), 0.99999, 160
 #: What a block of texts holds at most, about; columns of a matrix at a time.
-BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 768, 250_000, 4096
+BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 256, 250_000, 4096
 
 
 def banding(threshold: float, recall: float, most: int) -> tuple[int, int]:
@@ -70,15 +70,13 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: Bands) ->
     """``k``, ``s`` (digest of the shingle set), ``n`` (its size), ``b`` (band hashes) of every row with a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                found = [(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), len(u), bands.of(u)) for u in shingles.sets(part.column(1).to_pylist(), size)]
-                ends = pa.array(np.arange(0, len(found) * bands.bands + 1, bands.bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s for s, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([b for _, _, b in found])))],
-                    names=["k", "s", "n", "b"],
-                )
+        for part in common.slices(batches):
+            found = [(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), len(u), bands.of(u)) for u in shingles.sets(part.column(1).to_pylist(), size)]
+            ends = pa.array(np.arange(0, len(found) * bands.bands + 1, bands.bands, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([s for s, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([b for _, _, b in found])))],
+                names=["k", "s", "n", "b"],
+            )
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     return rows.mapInArrow(run, "k bigint, s binary, n int, b array<bigint>")
@@ -194,7 +192,7 @@ def _gather(rows: DataFrame, size: int, threshold: Fraction) -> DataFrame:
                 names=["rep", "links", "root", "comp", "cls", "block", "data"],
             )
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for comp, cls, number, alone, rep, copies, digest, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (comp, cls, number, alone) != at:
                     if held:
