@@ -124,15 +124,14 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     Both tables have ``id`` (bigint) and ``v`` (array of bigint without nulls).
     """
-    blocks = _packed(vectors, BLOCK_ROWS, "v")
-    asked = _packed(queries, QUERY_ROWS, "q")
-    # The stated queries in blocks against all rows in blocks: a row here is a whole block.
-    found = _tiles(asked.join(blocks, F.col("q_dim") == F.col("v_dim")).repartition("q_block", "v_block"), k)
+    shards = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _packed(vectors, BLOCK_ROWS, "v").withColumn("shard", F.pmod(F.xxhash64("v_block"), F.lit(shards)).cast("int"))
+    # The stated queries, in blocks, go to every shard; vectors are moved once, and a tile is computed where its blocks meet.
+    asked = _packed(queries, QUERY_ROWS, "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = _tiles(asked.join(blocks, "shard").where("q_dim = v_dim").drop("shard"), k)
     by_rank = [F.desc("score"), F.asc("vec_id")]
-    lists = vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    parts, level = int(lists), F.pmod(F.xxhash64("part"), F.lit(1 << 30))
-    groups = 1
-    while groups * FAN_IN < parts:
+    level, groups = F.pmod(F.xxhash64("part"), F.lit(1 << 30)), 1
+    while groups * FAN_IN < shards:
         groups *= FAN_IN
     while groups > 1:
         found = found.withColumn("g", F.pmod(level, F.lit(groups)))

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_REVISIT = 1000
-#: Less than 2**24, so that a gzip member's last byte (of its size) is 0; about as much makes a file.
-MEMBER_BYTES, FILE_BYTES = 15 << 20, 64 << 20
+#: A member has less than 2**24 bytes, so that its last one (of its size) is 0; uncompressed, a file has about FILE_BYTES and never more than MOST_BYTES.
+MEMBER_BYTES, FILE_BYTES, MOST_BYTES = 15 << 20, 64 << 20, 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -187,7 +187,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     )
     long_enough = F.col("n") >= MIN_REVISIT
     kept = rows.where(long_enough).groupBy(F.col("d").alias("same"), F.col("n").alias("size")).agg(F.max("k").alias("kept"), F.count("*").alias("c")).where("c > 1").select("same", "size", "kept")
-    longest = rows.agg(F.max("n")).first()[0] or 0
+    longest, mean = rows.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.avg("n"), F.lit(0.0))).first()
     spread = rows.withColumn("same", F.when(long_enough, F.col("d")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("k").cast("string"), F.lit("none")))))
     joined = spread.join(kept, (spread["same"] == kept["same"]) & (spread["n"] == kept["size"]), "left")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("k").eqNullSafe(F.col("kept")), F.col("kept"))
@@ -200,7 +200,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
                 rows_ = zip(*(c.to_pylist() for c in part.columns), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([compress(record(*r)) for r in rows_], pa.binary())], names=["record"])
 
-    per_file = max(1, min(50_000, FILE_BYTES // (longest + 1000)))
+    per_file = max(1, min(FILE_BYTES // (int(mean) + 1000), MOST_BYTES // (longest + 1000)))
     out = ready.mapInArrow(records, "record binary")
     body = F.substring("record", F.lit(1), F.length("record") - 1).cast("string")
     out.select(body.alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", per_file).text(path)
