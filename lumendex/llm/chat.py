@@ -10,9 +10,11 @@ window stays within the budget unless a single turn is longer. Windows after the
 (if the conversation begins with one) and as many turns before as fit ``history`` tokens. Every turn is new in one window only: the
 loss mask covers the escaped texts of new assistant turns, never repeated ones.
 
-A conversation is read as a sorted stream (one exchange by conversation); only windows are collected, and
-these are bounded by the budget. Order is by turn, then role, then text; null turns first. Null roles and texts are empty; a
-null conv_id is a conversation like any other; repeated rows are turns each. Empty tables give no windows.
+A conversation of more than ``PART_TURNS`` turns is dealt by turn into parts of about so many, each a sorted stream of its own with its own line of
+tokens, so that no task has to read a very long conversation alone; a part's windows have the system turn, but no history of the part
+before. Only windows are collected, and these are bounded by the budget. Order is by turn, then role, then text; null turns
+first. Null roles and texts are empty; a null conv_id is a conversation like any other; repeated rows are turns each. Empty tables give
+no windows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 OPEN, SHUT, BEGIN, END = "[INST]", "[/INST]", "<s>", "</s>"
 #: The template's control strings.
 CONTROLS = (BEGIN, END, OPEN, SHUT)
+PART_TURNS = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -42,7 +45,7 @@ def tokens_of(text: Column) -> Column:
 
 
 def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int = 3) -> DataFrame:
-    """``conv_id``, ``first`` (place of its first new turn, from 1), ``formatted``, ``repeated`` (turns that are shown again, at
+    """``conv_id``, ``first`` (orders a conversation's windows), ``formatted``, ``repeated`` (turns that are shown again, at
     its beginning), ``loss`` (array of ``start`` and ``size`` in code points), ``tokens``. ``turns``: conv_id, turn, role, text.
 
     ``frame``: tokens that a turn has beside its text's.
@@ -51,37 +54,46 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
         raise ValueError("the history must leave room in the budget")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("size", (tokens_of(F.col("text")) + frame).cast("bigint"))
-    conv = Window.partitionBy("conv_id")
-    order = conv.orderBy(F.asc_nulls_first("turn"), "role", "text")
-    sums = rows.select(
-        "*",
-        F.row_number().over(order).alias("place"),
+    # What is known of each conversation: its turns' bounds, and its first turn.
+    opening = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "size")
+    heads = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"), F.min(opening).alias("head"))
+    system = F.when(F.col("head.role") == "system", F.col("head.size"))
+    bounds = heads.select(F.col("conv_id").alias("c"), F.ceil(F.col("n") / PART_TURNS).alias("parts"), "low", "high", system.alias("system"))
+    known = rows.join(bounds, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    low, turn = F.col("low").cast("double"), F.col("turn").cast("double")
+    share = F.floor((turn - low) / (F.col("high").cast("double") - low + 1) * F.col("parts"))
+    within = F.greatest(F.least(share, F.col("parts") - 1), F.lit(0))
+    dealt = known.withColumn("run", F.when(F.col("turn").isNull(), F.lit(0)).otherwise(within).cast("bigint"))
+
+    run = Window.partitionBy("conv_id", "run")
+    order = run.orderBy(F.asc_nulls_first("turn"), "role", "text")
+    numbered = dealt.select(
+        "conv_id", "run", "role", "text", "size", "system",
+        (F.col("run") * (1 << 32) + F.row_number().over(order)).alias("place"),
         (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"),
-        F.first(F.when(F.col("role") == "system", F.struct("role", "text", "size"))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("system"),
-    )
+    )
     # A long system turn leaves at least a quarter of the budget to the other turns.
-    room = F.greatest(F.lit(budget - history) - F.coalesce(F.col("system.size"), F.lit(0)), F.lit(max(1, budget // 4)))
+    room = F.greatest(F.lit(budget - history) - F.coalesce("system", F.lit(0)), F.lit(max(1, budget // 4)))
     cell = F.floor(F.col("before") / room)
     crosses = F.floor((F.col("before") + F.col("size") - 1) / room) > cell
-    marked = sums.withColumn("window", 2 * cell + crosses.cast("bigint"))
-    place = conv.orderBy("place")
+    marked = numbered.withColumn("window", 2 * cell + crosses.cast("bigint"))
+    place = run.orderBy("place")
     begun = marked.withColumn("begins", ~F.col("window").eqNullSafe(F.lag("window").over(place)))
     newest = begun.withColumn("first", F.max(F.when(F.col("begins"), F.col("place"))).over(place.rowsBetween(Window.unboundedPreceding, 0)))
     # Windows that begin within the next ``history`` tokens show this turn again. Every turn has tokens, so ``before`` is strictly rising.
-    near = conv.orderBy("before").rangeBetween(1, history)
+    near = run.orderBy("before").rangeBetween(1, history)
     later = newest.withColumn("later", F.collect_list(F.when(F.col("begins"), F.col("place"))).over(near))
+    opens = (F.col("place") == 1) & F.col("system").isNotNull()
     shown = F.concat(
-        F.array(F.struct(F.col("first").alias("window"), F.lit(2).alias("part"), F.col("place"), F.col("role"), F.col("text"), F.col("size"))),
-        F.transform(
-            F.filter("later", lambda w: (F.col("place") != 1) | F.col("system").isNull()),
-            lambda w: F.struct(w.alias("window"), F.lit(1).alias("part"), F.col("place"), F.col("role"), F.col("text"), F.col("size")),
-        ),
-        F.when(
-            F.col("begins") & F.col("system").isNotNull() & (F.col("place") > 1),
-            F.array(F.struct(F.col("place").alias("window"), F.lit(0).alias("part"), F.lit(1).alias("place"), F.col("system.role").alias("role"), F.col("system.text").alias("text"), F.col("system.size").alias("size"))),
-        ).otherwise(F.array()),
+        F.array(F.struct(F.col("first").alias("window"), F.lit(2).alias("part"))),
+        F.transform(F.filter("later", lambda w: ~opens), lambda w: F.struct(w.alias("window"), F.lit(1).alias("part"))),
     )
-    members = later.select("conv_id", F.explode(shown).alias("m")).select("conv_id", "m.*")
+    members = later.select("conv_id", "place", "role", "text", "size", F.explode(shown).alias("m")).select("conv_id", "m.window", "m.part", "place", "role", "text", "size")
+    # The system turn, for every window but the first.
+    begins = later.where(F.col("begins") & F.col("system").isNotNull() & (F.col("place") > 1)).select("conv_id", F.col("place").alias("window"))
+    systems = heads.where("head.role = 'system'").select(F.col("conv_id").alias("c"), "head.role", "head.text", "head.size")
+    repeated = begins.join(systems, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "window", F.lit(0).alias("part"), F.lit(1).cast("bigint").alias("place"), "role", "text", "size")
+    members = members.unionByName(repeated)
     head = F.concat(F.lit(BEGIN + OPEN), escaped(F.col("role")), F.lit(SHUT))
     body = escaped(F.col("text"))
     pieces = members.select("conv_id", "window", "part", "place", "role", "size", F.length(head).alias("h"), F.length(body).alias("b"), F.concat(head, body, F.lit(END)).alias("piece"))

@@ -153,6 +153,18 @@ def test_chat_round_trip(spark):
     assert chat.windows(df.limit(0)).collect() == []
 
 
+def test_long_conversations_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 10)
+    rows = [(1, t * 7 - 50, ("user", "assistant")[t % 2], f"turn {t} " * (t % 5)) for t in range(95)] + [(1, None, "system", "rule"), (2, 1, "user", "hi"), (None, 3, "assistant", "x")]
+    rows += [(1, -(2**63), "user", "least"), (1, 2**63 - 1, "assistant", "most")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.windows(df, budget=60, history=20)
+    assert got_digests(out) == digests_by_hand(rows)
+    even = chat.windows(df.where("turn is null or turn between -1000 and 1000"), budget=60, history=20)
+    assert all(x.formatted.startswith("<s>[INST]system[/INST]rule") and x.tokens <= 60 for x in even.where("conv_id = 1").collect())
+    assert even.select((F.col("first") / F.lit(1 << 32)).cast("int")).distinct().count() > 5
+
+
 def test_windows_keep_the_budget(spark):
     rows = [(1, 0, "system", "rule " * 5)] + [(1, t, ("user", "assistant")[t % 2], "w " * (t % 7 + 1)) for t in range(1, 200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
