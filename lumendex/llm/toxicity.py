@@ -9,7 +9,8 @@ the logit is penalised, so that the mention of a group doesn't raise the score b
 What leaves the executors for training is bounded: at most FEATURES features, and for each sampled row those it has.
 Scoring reads whole texts, row by row, with the weights broadcast. Labels, language, source and key never enter a
 score. Null texts count as empty; an empty text's score is the model's prior. A key with several labels is toxic if any is;
-null labels are none. Without labels of both classes the score is the share of toxic labels (0 without labels).
+null labels are none. Without labels, or
+labelled texts, of both classes the score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -183,6 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     sizes = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    if not pos or not neg:
+        return Model(bias=float(np.log(totals[1] / totals[0])))
     summed = texts.mapInArrow(tally, "h bigint, n bigint, p bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     share = pos / max(pos + neg, 1)
 
@@ -215,9 +218,25 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = texts.mapInArrow(present, "y int, own array<int>, other array<int>").collect()  # at most FEATURES numbers for each sampled row
     got.sort(key=lambda r: (r.y, r.own, r.other or []))  # the order of arrival must not matter
     pairs = [(k, list(r.other)) for k, r in enumerate(got) if r.other is not None]
-    w, b = fit([list(r.own) for r in got], np.array([r.y for r in got], float), pairs, len(hashes))
-    # Classes weigh the same in training; the bias brings their true shares back.
-    return Model(hashes, w, b + float(np.log(totals[1] / totals[0])))
+    own = [list(r.own) for r in got]
+    y = np.array([r.y for r in got], float)
+    w, _ = fit(own, y, pairs, len(hashes))
+    sums = np.array([w[x].sum() for x in own])
+    # Classes weigh the same in training; the border is set for their true shares.
+    return Model(hashes, w, -best_border(sums, y, np.where(y == 1, totals[1] / pos, totals[0] / neg)))
+
+
+def best_border(sums: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """Where to cut so that the least weight is on the wrong side; in the middle of the gap there, of equals the widest gap."""
+    order = np.argsort(sums, kind="stable")
+    z, y, v = sums[order], labels[order], weights[order]
+    # Wrong when the k lowest are called 0.
+    wrong = np.concatenate([[0.0], np.cumsum(v * (y == 1))]) + np.concatenate([np.cumsum((v * (y == 0))[::-1])[::-1], [0.0]])
+    low, high = np.concatenate([[z[0] - 2], z]), np.concatenate([z, [z[-1] + 2]])
+    wrong[high - low <= 1e-9] = np.inf  # no cut between equal sums
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    k = best[np.argmax((high - low)[best])]
+    return float((low[k] + high[k]) / 2)
 
 
 def score(text: Column, model: Model, docs: DataFrame) -> Column:

@@ -206,6 +206,14 @@ def test_toxicity_edges(spark):
     assert toxicity.judge(docs.limit(0), none).collect() == []
 
 
+def test_best_border():
+    border = toxicity.best_border(np.array([0.0, 0.0, 1.0, 5.0, 5.0, 6.0]), np.array([0, 0, 0, 1, 1, 1]), np.ones(6))
+    assert border == 3.0
+    # A few wrong labels don't move it: the least weight is on the wrong side.
+    assert toxicity.best_border(np.array([0.0, 0.0, 0.0, 4.0, 4.0]), np.array([0, 0, 1, 1, 1]), np.ones(5)) == 2.0
+    assert toxicity.best_border(np.zeros(3), np.array([0, 0, 1]), np.ones(3)) > 0
+
+
 def test_features_of_long_texts(monkeypatch):
     texts = ["alpha beta gamma " * 20, None, "Delta", "alpha " * 50]
     every = [(r, h) for rows, hashes in toxicity.features(texts) for r, h in zip(rows.tolist(), hashes.tolist(), strict=True)]
