@@ -29,6 +29,11 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, _run_tokens))).otherwise(F.transform(runs, F.lower))
 
 
+def token_count(fields: Column) -> Column:
+    """How many terms all fields have."""
+    return F.aggregate(fields, F.lit(0), lambda n, text: n + F.size(tokens(text)))
+
+
 def occurrences(fields: Column) -> Column:
     """(term, position) of all fields, in order."""
 

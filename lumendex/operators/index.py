@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,16 +14,18 @@ from ..functions import analysis
 
 def with_lengths(docs: DataFrame) -> DataFrame:
     """``docs`` (rowid, fields and more) with ``doc_len``, the number of tokens of all fields."""
-    return docs.withColumn("doc_len", F.size(analysis.occurrences(F.col("fields"))))
+    return docs.withColumn("doc_len", analysis.token_count(F.col("fields")))
 
 
-def build_postings(docs: DataFrame, *keep: str) -> DataFrame:
+def build_postings(docs: DataFrame, *keep: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """``term``, ``rowid``, ``tf``, ``doc_len``, ``positions`` (ascending), and the columns ``keep``, of documents (rowid, fields).
 
-    A filter on ``term`` reaches below the aggregation, so asking for a few terms shuffles only these.
+    wanted: a condition on terms; other tokens are dropped before they become rows.
     """
+    # A generator of one row keeps the tokens from being computed once for each use.
     tokens = docs.select("rowid", *keep, F.explode(F.array(analysis.occurrences(F.col("fields")))).alias("o"))
-    rows = tokens.select("rowid", *keep, F.size("o").alias("doc_len"), F.explode("o").alias("t"))
+    own = F.filter("o", lambda t: wanted(t["term"])) if wanted else F.col("o")
+    rows = tokens.select("rowid", *keep, F.size("o").alias("doc_len"), F.explode(own).alias("t"))
     grouped = rows.select("rowid", *keep, "doc_len", "t.term", "t.position").groupBy("term", "rowid", "doc_len", *keep)
     return grouped.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")).select("term", "rowid", *keep, "tf", "doc_len", "positions")
 
@@ -34,13 +37,15 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     segments: int = 1
+    #: The documents (rowid, fields), if postings aren't stored but made when asked for.
+    source: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, rowid: str = "rowid", fields: list[str] | None = None) -> Index:
         """Index a DataFrame in place. ``fields``: string columns; else ``fields`` is an array column."""
         own = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in fields]) if fields else F.col("fields")
         rows = docs.select(F.col(rowid).cast("bigint").alias("rowid"), own.alias("fields"))
-        return cls(with_lengths(rows), build_postings(rows))
+        return cls(with_lengths(rows), build_postings(rows), source=rows)
 
     @cached_property
     def totals(self) -> tuple[int, int]:
@@ -49,12 +54,15 @@ class Index:
         return row.n, row.t or 0
 
     def needed(self, terms: set[str], prefixes: set[str]) -> DataFrame:
-        """The postings of some terms and of all terms with some prefixes; both reach the scan as pushed filters."""
+        """The postings of some terms and of all terms with some prefixes; of a stored index both reach the scan as pushed filters."""
+        if self.source is not None:
+            return build_postings(self.source, wanted=lambda term: matches_leaf(terms, prefixes, term))
         return self.postings.where(matches_leaf(terms, prefixes))
 
 
-def matches_leaf(terms: set[str], prefixes: set[str]) -> Column:
-    wanted = F.col("term").isin(sorted(terms)) if terms else F.lit(False)
+def matches_leaf(terms: set[str], prefixes: set[str], term: Column | None = None) -> Column:
+    term = F.col("term") if term is None else term
+    wanted = term.isin(sorted(terms)) if terms else F.lit(False)
     for p in sorted(prefixes):
-        wanted = wanted | F.col("term").startswith(p)
+        wanted = wanted | term.startswith(p)
     return wanted
