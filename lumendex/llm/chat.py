@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 OPEN, SHUT, BEGIN, END = "[INST]", "[/INST]", "<s>", "</s>"
 #: The template's control strings.
 CONTROLS = (BEGIN, END, OPEN, SHUT)
@@ -54,26 +56,31 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
         raise ValueError("the history must leave room in the budget")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("size", (tokens_of(F.col("text")) + frame).cast("bigint"))
-    # What is known of each conversation: its turns' bounds, and its first turn.
+    # Turns' bounds and first turn of the long conversations, one row for at least PART_TURNS turns; Spark sees its size before it joins.
+    counts = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high")).where(F.col("n") > PART_TURNS)
+    long_ = common.durable(counts.select(F.col("conv_id").alias("c"), F.ceil(F.col("n") / PART_TURNS).alias("parts"), "low", "high"), "long")
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
     opening = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "size")
-    heads = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"), F.min(opening).alias("head"))
-    system = F.when(F.col("head.role") == "system", F.col("head.size"))
-    bounds = heads.select(F.col("conv_id").alias("c"), F.ceil(F.col("n") / PART_TURNS).alias("parts"), "low", "high", system.alias("system"))
-    known = rows.join(bounds, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    heads = rows.join(long_, same).groupBy("c").agg(F.min(opening).alias("o")).select(F.col("c").alias("conv_id"), F.struct("o.role", "o.text", "o.size").alias("head"))
+    long_ = common.durable(long_.join(heads, same).select("c", "parts", "low", "high", "head"), "long")
+    known = rows.join(long_, same, "left").drop("c")
     low, turn = F.col("low").cast("double"), F.col("turn").cast("double")
     share = F.floor((turn - low) / (F.col("high").cast("double") - low + 1) * F.col("parts"))
     within = F.greatest(F.least(share, F.col("parts") - 1), F.lit(0))
-    dealt = known.withColumn("run", F.when(F.col("turn").isNull(), F.lit(0)).otherwise(within).cast("bigint"))
+    dealt = known.withColumn("run", F.when(F.col("parts").isNull() | F.col("turn").isNull(), F.lit(0)).otherwise(within).cast("bigint"))
 
     run = Window.partitionBy("conv_id", "run")
     order = run.orderBy(F.asc_nulls_first("turn"), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     numbered = dealt.select(
-        "conv_id", "run", "role", "text", "size", "system",
+        "conv_id", "run", "role", "text", "size",
         (F.col("run") * (1 << 32) + F.row_number().over(order)).alias("place"),
-        (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"),
+        (F.sum("size").over(so_far) - F.col("size")).alias("before"),
+        F.when(F.col("run") == 0, F.first(F.struct("role", "text", "size")).over(so_far)).otherwise(F.col("head")).alias("opening"),
     )
+    numbered = numbered.withColumn("system", F.when(F.col("opening.role") == "system", F.col("opening"))).drop("opening")
     # A long system turn leaves at least a quarter of the budget to the other turns.
-    room = F.greatest(F.lit(budget - history) - F.coalesce("system", F.lit(0)), F.lit(max(1, budget // 4)))
+    room = F.greatest(F.lit(budget - history) - F.coalesce("system.size", F.lit(0)), F.lit(max(1, budget // 4)))
     cell = F.floor(F.col("before") / room)
     crosses = F.floor((F.col("before") + F.col("size") - 1) / room) > cell
     marked = numbered.withColumn("window", 2 * cell + crosses.cast("bigint"))
@@ -83,30 +90,34 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
     # Windows that begin within the next ``history`` tokens show this turn again. Every turn has tokens, so ``before`` is strictly rising.
     near = run.orderBy("before").rangeBetween(1, history)
     later = newest.withColumn("later", F.collect_list(F.when(F.col("begins"), F.col("place"))).over(near))
+
+    def member(window: Column, part: int, place: Column, turn: str | None) -> Column:
+        of = [F.col(f"{turn}.{c}" if turn else c).alias(c) for c in ("role", "text", "size")]
+        return F.struct(window.alias("window"), F.lit(part).alias("part"), place.alias("place"), *of)
+
     opens = (F.col("place") == 1) & F.col("system").isNotNull()
+    repeats = F.col("begins") & F.col("system").isNotNull() & (F.col("place") > 1)
     shown = F.concat(
-        F.array(F.struct(F.col("first").alias("window"), F.lit(2).alias("part"))),
-        F.transform(F.filter("later", lambda w: ~opens), lambda w: F.struct(w.alias("window"), F.lit(1).alias("part"))),
+        F.array(member(F.col("first"), 2, F.col("place"), None)),
+        F.transform(F.filter("later", lambda w: ~opens), lambda w: member(w, 1, F.col("place"), None)),
+        F.when(repeats, F.array(member(F.col("place"), 0, F.lit(1).cast("bigint"), "system"))).otherwise(F.array()),
     )
-    members = later.select("conv_id", "place", "role", "text", "size", F.explode(shown).alias("m")).select("conv_id", "m.window", "m.part", "place", "role", "text", "size")
-    # The system turn, for every window but the first.
-    begins = later.where(F.col("begins") & F.col("system").isNotNull() & (F.col("place") > 1)).select("conv_id", F.col("place").alias("window"))
-    systems = heads.where("head.role = 'system'").select(F.col("conv_id").alias("c"), "head.role", "head.text", "head.size")
-    repeated = begins.join(systems, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "window", F.lit(0).alias("part"), F.lit(1).cast("bigint").alias("place"), "role", "text", "size")
-    members = members.unionByName(repeated)
+    # Windows stay where their part of the conversation is: grouping by (conv_id, run, window) needs no other exchange.
+    members = later.select("conv_id", "run", F.explode(shown).alias("m")).select("conv_id", "run", "m.*")
     head = F.concat(F.lit(BEGIN + OPEN), escaped(F.col("role")), F.lit(SHUT))
     body = escaped(F.col("text"))
-    pieces = members.select("conv_id", "window", "part", "place", "role", "size", F.length(head).alias("h"), F.length(body).alias("b"), F.concat(head, body, F.lit(END)).alias("piece"))
-    own = Window.partitionBy("conv_id", "window").orderBy("part", "place")
+    pieces = members.select("conv_id", "run", "window", "part", "place", "role", "size", F.length(head).alias("h"), F.length(body).alias("b"), F.concat(head, body, F.lit(END)).alias("piece"))
+    own = Window.partitionBy("conv_id", "run", "window").orderBy("part", "place")
     at = F.sum(F.length("piece")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece")
     placed = pieces.withColumn("at", at)
     target = (F.col("part") == 2) & (F.col("role") == "assistant")
-    return placed.groupBy("conv_id", F.col("window").alias("first")).agg(
+    out = placed.groupBy("conv_id", "run", F.col("window").alias("first")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "piece"))), lambda x: x["piece"]), "").alias("formatted"),
         F.count(F.when(F.col("part") < 2, 1)).alias("repeated"),
         F.array_sort(F.collect_list(F.when(target, F.struct((F.col("at") + F.col("h")).alias("start"), F.col("b").alias("size"))))).alias("loss"),
         F.sum("size").alias("tokens"),
     )
+    return out.drop("run")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
