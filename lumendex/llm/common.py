@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where the session names none (tests on one machine), a temporary folder is
-    set for the life of the session.
+    set and goes with the process. Tables that operators write to a named folder stay there, as results are read from them lazily; see ``remove``.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lumendex-")
+        folder = tempfile.mkdtemp(prefix="lumendex-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
