@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from ..functions import analysis
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan of fewer partitions than half the cores, dealt over all cores; anything else as it is.
+
+    Analysing texts takes much longer than moving them. Large tables have more partitions and aren't moved.
+    """
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df  # it has exchanges of its own
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def with_lengths(docs: DataFrame) -> DataFrame:
     """``docs`` (rowid, fields and more) with ``doc_len``, the number of tokens of all fields."""
     return docs.withColumn("doc_len", analysis.token_count(F.col("fields")))
@@ -44,7 +55,7 @@ class Index:
     def of(cls, docs: DataFrame, rowid: str = "rowid", fields: list[str] | None = None) -> Index:
         """Index a DataFrame in place. ``fields``: string columns; else ``fields`` is an array column."""
         own = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in fields]) if fields else F.col("fields")
-        rows = docs.select(F.col(rowid).cast("bigint").alias("rowid"), own.alias("fields"))
+        rows = spread(docs.select(F.col(rowid).cast("bigint").alias("rowid"), own.alias("fields")))
         return cls(with_lengths(rows), build_postings(rows), source=rows)
 
     @cached_property

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis
 from ..functions.bm25 import Bm25
-from ..operators.index import Index, build_postings
+from ..operators.index import Index, build_postings, spread
 from ..operators.query import All, SearchOptions, query
 from . import batch
 from . import search as planner
@@ -110,7 +110,7 @@ def _search(index: Index, q, limit: int = 20, exhaustive: bool = False, **option
 
 @registered("WITH " + _DOCS + " SELECT unnest(toks) AS term, count(*) AS occurrences FROM docs GROUP BY 1")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.explode(analysis.tokens(F.col("text"))).alias("term"))
+    docs = spread(_table(spark, sf_dir, "documents").select("text")).select(F.explode(analysis.tokens(F.col("text"))).alias("term"))
     return docs.groupBy("term").agg(F.count("*").alias("occurrences"))
 
 

@@ -201,7 +201,7 @@ class Database:
             self.optimize()
         commit = uuid.uuid4().hex
         folder = f"commits/{commit}"
-        rows = indexing.with_lengths(ops.select("rowid", "op", "fields")).withColumn("commit", F.lit(commit))
+        rows = indexing.with_lengths(indexing.spread(ops.select("rowid", "op", "fields"))).withColumn("commit", F.lit(commit))
         rows.write.parquet(self.files.url(f"{folder}/ops"))
         stored = self.spark.read.parquet(self.files.url(f"{folder}/ops"))
         postings = indexing.build_postings(stored.where("op = 'upsert'")).withColumn("commit", F.lit(commit))
@@ -365,4 +365,4 @@ class Transaction:
             return self._database.generation
         last = {o[0]: o for o in ops}
         rows = self._database.spark.createDataFrame(sorted(last.values(), key=lambda o: o[0]), OPS)
-        return self._database.commit_ops(rows.coalesce(max(1, min(8, len(last) // 5000))))
+        return self._database.commit_ops(rows)
