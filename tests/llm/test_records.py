@@ -64,6 +64,33 @@ def test_models_by_hand(spark):
     assert np.allclose(url_filter.score([*urls, None, ""], counts), [*want, 0, 0])
 
 
+def test_models_count_every_gram(spark):
+    r = random.Random(5)
+    train = [("".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789-._~/", k=60)), r.choice(["allow", "block"])) for _ in range(3000)]
+    counts = url_filter.count_grams(spark.createDataFrame(train, "url string, verdict string"))
+    tables = {}
+    for u, v in train:
+        b = b"\x02" * 4 + u.encode() + b"\x03"
+        for i in range(4, len(b)):
+            for n in range(1, 6):
+                for what in (("gram", n, b[i - n + 1 : i + 1]), ("context", n, b[i - n + 1 : i])):
+                    tables[v, *what] = tables.get((v, *what), 0) + 1
+    assert len({k[3] for k in tables if k[1:3] == ("gram", 5)}) > 2**16
+
+    def log_likelihood(url, v):
+        b, total = b"\x02" * 4 + url.encode() + b"\x03", 0.0
+        for i in range(4, len(b)):
+            p = 1 / 256
+            for n in range(1, 6):
+                p = (tables.get((v, "gram", n, b[i - n + 1 : i + 1]), 0) + url_filter.WEIGHT * p) / (tables.get((v, "context", n, b[i - n + 1 : i]), 0) + url_filter.WEIGHT)
+            total += math.log(p)
+        return total
+
+    urls = [u for u, _ in train[:50]] + ["zzz/~~~", "http://new.org/é"]
+    want = [(log_likelihood(u, "allow") - log_likelihood(u, "block")) / (len(u.encode()) + 1) for u in urls]
+    assert np.allclose(url_filter.score(urls, counts), want, rtol=1e-9, atol=1e-12)
+
+
 def test_threshold():
     assert url_filter.best_threshold([(1, "allow", 3)]) == 0.0
     t = url_filter.best_threshold([(3000, "allow", 9), (2500, "block", 9)])
