@@ -10,9 +10,9 @@ window stays within the budget unless a single turn is longer. Windows after the
 (if the conversation begins with one) and as many turns before as fit ``history`` tokens. Every turn is new in one window only: the
 loss mask covers the escaped texts of new assistant turns, never repeated ones.
 
-A conversation of more than ``PART_TURNS`` turns is dealt by turn into parts of about so many, each a sorted stream of its own with its own line of
-tokens, so that no task has to read a very long conversation alone; a part's windows have the system turn, but no history of the part
-before. Only windows are collected, and these are bounded by the budget. Order is by turn, then role, then text; null turns
+A conversation of more than ``PART_TURNS`` turns is dealt by turn into parts of about so many, each a sorted stream of its own, so that no task
+has to read a very long conversation alone. Parts carry on one line of tokens: one row a part tells the tokens before it, the last turn before it and the windows
+that begin within the history after it, so windows are those of the whole conversation. Only windows are collected, and these are bounded by the budget. Order is by turn, then role, then text; null turns
 first. Null roles and texts are empty; a null conv_id is a conversation like any other; repeated rows are turns each. Empty tables give
 no windows.
 """
@@ -56,40 +56,76 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
         raise ValueError("the history must leave room in the budget")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("size", (tokens_of(F.col("text")) + frame).cast("bigint"))
-    # Turns' bounds and first turn of the long conversations, one row for at least PART_TURNS turns; Spark sees its size before it joins.
+    # Turns' bounds of the long conversations, one row for at least PART_TURNS turns; Spark sees its size before it joins.
     counts = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high")).where(F.col("n") > PART_TURNS)
     long_ = common.durable(counts.select(F.col("conv_id").alias("c"), F.ceil(F.col("n") / PART_TURNS).alias("parts"), "low", "high"), "long")
     same = F.col("conv_id").eqNullSafe(F.col("c"))
-    opening = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "size")
-    heads = rows.join(long_, same).groupBy("c").agg(F.min(opening).alias("o")).select(F.col("c").alias("conv_id"), F.struct("o.role", "o.text", "o.size").alias("head"))
-    long_ = common.durable(long_.join(heads, same).select("c", "parts", "low", "high", "head"), "long")
-    known = rows.join(long_, same, "left").drop("c")
     low, turn = F.col("low").cast("double"), F.col("turn").cast("double")
     share = F.floor((turn - low) / (F.col("high").cast("double") - low + 1) * F.col("parts"))
     within = F.greatest(F.least(share, F.col("parts") - 1), F.lit(0))
-    dealt = known.withColumn("run", F.when(F.col("parts").isNull() | F.col("turn").isNull(), F.lit(0)).otherwise(within).cast("bigint"))
-
-    run = Window.partitionBy("conv_id", "run")
-    order = run.orderBy(F.asc_nulls_first("turn"), "role", "text")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = dealt.select(
-        "conv_id", "run", "role", "text", "size",
-        (F.col("run") * (1 << 32) + F.row_number().over(order)).alias("place"),
-        (F.sum("size").over(so_far) - F.col("size")).alias("before"),
-        F.when(F.col("run") == 0, F.first(F.struct("role", "text", "size")).over(so_far)).otherwise(F.col("head")).alias("opening"),
+    dealt = rows.join(long_, same).withColumn("run", F.when(F.col("turn").isNull(), F.lit(0)).otherwise(within).cast("bigint"))
+    dealt = dealt.select("conv_id", "run", "turn", "role", "text", "size")
+    # One row a part: the tokens before it, the size of the last turn before it, the conversation's system turn.
+    whole = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "size")
+    sums = dealt.groupBy("conv_id", "run").agg(F.sum("size").alias("total"), F.min(whole).alias("opening"), F.max(whole)["size"].alias("closing"))
+    parts = Window.partitionBy("conv_id").orderBy("run")
+    opening = F.first("opening").over(parts)
+    told = sums.select(
+        F.col("conv_id").alias("c"), F.col("run").alias("r"),
+        (F.sum("total").over(parts.rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("offset"),
+        "total",
+        F.lag("closing").over(parts).alias("prior"),
+        F.when(opening["role"] == "system", F.struct(opening["role"].alias("role"), opening["text"].alias("text"), opening["size"].alias("size"))).alias("system"),
     )
-    numbered = numbered.withColumn("system", F.when(F.col("opening.role") == "system", F.col("opening"))).drop("opening")
-    # A long system turn leaves at least a quarter of the budget to the other turns.
-    room = F.greatest(F.lit(budget - history) - F.coalesce("system.size", F.lit(0)), F.lit(max(1, budget // 4)))
-    cell = F.floor(F.col("before") / room)
-    crosses = F.floor((F.col("before") + F.col("size") - 1) / room) > cell
-    marked = numbered.withColumn("window", 2 * cell + crosses.cast("bigint"))
-    place = run.orderBy("place")
-    begun = marked.withColumn("begins", ~F.col("window").eqNullSafe(F.lag("window").over(place)))
-    newest = begun.withColumn("first", F.max(F.when(F.col("begins"), F.col("place"))).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    # Windows that begin within the next ``history`` tokens show this turn again. Every turn has tokens, so ``before`` is strictly rising.
-    near = run.orderBy("before").rangeBetween(1, history)
-    later = newest.withColumn("later", F.collect_list(F.when(F.col("begins"), F.col("place"))).over(near))
+    told = common.durable(told, "parts")
+    part_of = same & (F.col("run") == F.col("r"))
+
+    def room() -> Column:
+        # A long system turn leaves at least a quarter of the budget to the other turns.
+        return F.greatest(F.lit(budget - history) - F.coalesce("system.size", F.lit(0)), F.lit(max(1, budget // 4)))
+
+    def window_of(before: Column, size: Column) -> Column:
+        cell = F.floor(before / room())
+        return 2 * cell + (F.floor((before + size - 1) / room()) > cell).cast("bigint")
+
+    def marked(rows: DataFrame, keys: list[str], system: Column | None) -> DataFrame:
+        """The turns with their places, tokens before, windows and whether these begin there. ``rows`` has ``run``, ``offset`` and ``prior``."""
+        order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("turn"), "role", "text")
+        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+        numbered = rows.select(
+            "conv_id", "run", "role", "text", "size", "offset", "prior",
+            (F.col("run") * (1 << 32) + F.row_number().over(order)).alias("place"),
+            (F.col("offset") + F.sum("size").over(so_far) - F.col("size")).alias("before"),
+            (F.when(F.first("role").over(so_far) == "system", F.first(F.struct("role", "text", "size")).over(so_far)) if system is None else system).alias("system"),
+        )
+        windowed = numbered.withColumn("window", window_of(F.col("before"), F.col("size")))
+        last = F.coalesce(F.lag("window").over(Window.partitionBy(*keys).orderBy("place")), window_of(F.col("offset") - F.col("prior"), F.col("prior")))
+        return windowed.withColumn("begins", ~F.col("window").eqNullSafe(last))
+
+    def shown_later(turns: DataFrame, keys: list[str]) -> DataFrame:
+        # Windows that begin within the next ``history`` tokens show this turn again. Every turn has tokens, so ``before`` is strictly rising.
+        near = Window.partitionBy(*keys).orderBy("before").rangeBetween(1, history)
+        return turns.withColumn("later", F.collect_list(F.when(F.col("begins"), F.col("window"))).over(near))
+
+    # Windows that begin within the first ``history`` tokens of the parts, told to the parts before.
+    divided = marked(dealt.join(told, part_of).drop("c", "r"), ["conv_id", "run"], F.col("system"))
+    starts = divided.where(F.col("begins") & (F.col("before") - F.col("offset") < history)).groupBy("conv_id", "run").agg(F.collect_list(F.struct("before", "window")).alias("starts"))
+    ends = told.join(starts, part_of, "left").select("c", "r", (F.col("offset") + F.col("total")).alias("end"), "starts")
+    next_ = ends.withColumn("starts", F.lead("starts").over(Window.partitionBy("c").orderBy("r")))
+    ahead = F.flatten(F.collect_list("starts").over(Window.partitionBy("c").orderBy("end").rangeBetween(0, history)))
+    ahead = common.durable(next_.select("c", "r", ahead.alias("ahead")), "ahead")
+    carried = F.filter("ahead", lambda x: x["before"] - F.col("before") <= history)
+    long_rows = shown_later(divided, ["conv_id", "run"]).join(ahead, part_of, "left")
+    long_rows = long_rows.withColumn("later", F.concat("later", F.coalesce(F.transform(carried, lambda x: x["window"]), F.array().cast("array<bigint>"))))
+
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("run", "offset")]
+    short = rows.join(long_, same, "left_anti").select("*", *none, F.lit(None).cast("bigint").alias("prior"))
+    short_rows = shown_later(marked(short, ["conv_id"], None), ["conv_id"])
+    return _formatted(short_rows).unionByName(_formatted(long_rows))
+
+
+def _formatted(turns: DataFrame) -> DataFrame:
+    """The windows of turns that know their own ``window`` and those that show them ``later``."""
 
     def member(window: Column, part: int, place: Column, turn: str | None) -> Column:
         of = [F.col(f"{turn}.{c}" if turn else c).alias(c) for c in ("role", "text", "size")]
@@ -98,26 +134,26 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
     opens = (F.col("place") == 1) & F.col("system").isNotNull()
     repeats = F.col("begins") & F.col("system").isNotNull() & (F.col("place") > 1)
     shown = F.concat(
-        F.array(member(F.col("first"), 2, F.col("place"), None)),
+        F.array(member(F.col("window"), 2, F.col("place"), None)),
         F.transform(F.filter("later", lambda w: ~opens), lambda w: member(w, 1, F.col("place"), None)),
-        F.when(repeats, F.array(member(F.col("place"), 0, F.lit(1).cast("bigint"), "system"))).otherwise(F.array()),
+        F.when(repeats, F.array(member(F.col("window"), 0, F.lit(1).cast("bigint"), "system"))).otherwise(F.array()),
     )
-    # Windows stay where their part of the conversation is: grouping by (conv_id, run, window) needs no other exchange.
-    members = later.select("conv_id", "run", F.explode(shown).alias("m")).select("conv_id", "run", "m.*")
+    # Windows of short conversations stay where these are: grouping by (conv_id, window) needs no other exchange.
+    members = turns.select("conv_id", F.explode(shown).alias("m")).select("conv_id", "m.*")
     head = F.concat(F.lit(BEGIN + OPEN), escaped(F.col("role")), F.lit(SHUT))
     body = escaped(F.col("text"))
-    pieces = members.select("conv_id", "run", "window", "part", "place", "role", "size", F.length(head).alias("h"), F.length(body).alias("b"), F.concat(head, body, F.lit(END)).alias("piece"))
-    own = Window.partitionBy("conv_id", "run", "window").orderBy("part", "place")
+    pieces = members.select("conv_id", "window", "part", "place", "role", "size", F.length(head).alias("h"), F.length(body).alias("b"), F.concat(head, body, F.lit(END)).alias("piece"))
+    own = Window.partitionBy("conv_id", "window").orderBy("part", "place")
     at = F.sum(F.length("piece")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.length("piece")
     placed = pieces.withColumn("at", at)
     target = (F.col("part") == 2) & (F.col("role") == "assistant")
-    out = placed.groupBy("conv_id", "run", F.col("window").alias("first")).agg(
+    return placed.groupBy("conv_id", "window").agg(
+        F.min(F.when(F.col("part") == 2, F.col("place"))).alias("first"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "piece"))), lambda x: x["piece"]), "").alias("formatted"),
         F.count(F.when(F.col("part") < 2, 1)).alias("repeated"),
         F.array_sort(F.collect_list(F.when(target, F.struct((F.col("at") + F.col("h")).alias("start"), F.col("b").alias("size"))))).alias("loss"),
         F.sum("size").alias("tokens"),
-    )
-    return out.drop("run")
+    ).drop("window")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -192,6 +192,23 @@ def test_long_conversations_in_parts(spark, monkeypatch):
     assert even.select((F.col("first") / F.lit(1 << 32)).cast("int")).distinct().count() > 5
 
 
+def test_parts_give_the_windows_of_the_whole(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(c, t * t if c == 3 else t, r.choice(["user", "assistant"]), f"turn {t} " * r.choice([0, 1, 2, 3, 40])) for c in (1, 2, 3, None) for t in range(1, 120)]
+    rows += [(1, None, "system", "rule"), (2, 0, "system", "rule " * 90), (3, 2**62, "user", "far"), (4, 1, "user", "hi"), (4, 2, "assistant", "ho")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def told():
+        out = [(repr(x.conv_id), x.first % (1 << 32) if x.conv_id == 4 else 0, x.formatted, x.repeated, x.loss, x.tokens) for x in chat.windows(df, budget=60, history=20).collect()]
+        digests = chat.digests(chat.read_back(chat.windows(df, budget=60, history=20))).collect()
+        return sorted(out), sorted(map(tuple, digests), key=repr)
+
+    whole = told()
+    for size in (40, 7, 1):
+        monkeypatch.setattr(chat, "PART_TURNS", size)
+        assert told() == whole
+
+
 def test_windows_keep_the_budget(spark):
     rows = [(1, 0, "system", "rule " * 5)] + [(1, t, ("user", "assistant")[t % 2], "w " * (t % 7 + 1)) for t in range(1, 200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
