@@ -90,6 +90,10 @@ class Broken(Exception):
     pass
 
 
+class Unfinished(Broken):
+    """What is there so far ends within a record."""
+
+
 def _member(content: memoryview, at: int) -> tuple[bytes, int]:
     """The data of the gzip member at a place, and where it ends."""
     inflate, out = zlib.decompressobj(31), []
@@ -107,40 +111,50 @@ def _member(content: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(inflate.unused_data)
 
 
-def _header(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Fields, where the block begins and how long it is."""
-    if not _VERSION.match(data):
+def _header(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
+    """Fields, where the block begins and how long it is, of the record at a place; a header is as long as it is."""
+    if not _VERSION.match(data, at):
         raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", 0, 1 << 20)
-    if end < 0:
-        raise Broken("unfinished header")
-    fields = {}
-    for line in data[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    at, fields = data.index(b"\n", at) + 1, {}
+    while (end := data.find(b"\r\n", at)) != at:
+        if end < 0:
+            raise Unfinished("unfinished header")
+        name, colon, value = data[at:end].partition(b":")
         if not colon:
             raise Broken("bad header line")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        at = end + 2
     length = fields.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise Broken("bad content length")
-    return fields, end + 4, int(length)
+    return fields, at + 2, int(length)
 
 
-def _record_at(content: memoryview, at: int) -> Found:
+def _record_at(content: bytes, at: int) -> Found:
     begin = at
-    if bytes(content[at : at + 2]) == b"\x1f\x8b":
-        data, at = _member(content, at)
-        fields, start, length = _header(data)
-        while len(data) < start + length + 4 and bytes(content[at : at + 2]) == b"\x1f\x8b":
-            more, after = _member(content, at)
+    if content[at : at + 2] == b"\x1f\x8b":
+        view = memoryview(content)
+        data, at = _member(view, at)
+        while True:
+            try:
+                fields, start, length = _header(data)
+                if len(data) >= start + length + 4:
+                    break
+            except Unfinished:
+                if content[at : at + 2] != b"\x1f\x8b":
+                    raise
+            if content[at : at + 2] != b"\x1f\x8b":
+                break
+            more, after = _member(view, at)
             if _VERSION.match(more):
+                fields, start, length = _header(data)
                 break
             data, at = data + more, after
         if len(data) > start + length + 4:
             raise Broken("record and member end apart")
     else:
-        fields, start, length = _header(bytes(content[at : at + (1 << 16)]))
-        data = bytes(content[at : at + start + length + 4])
+        fields, start, length = _header(content, at)
+        data, start = content[at : start + length + 4], start - at
         at += len(data)
     block = data[start : start + length]
     if len(block) < length or data[start + length :] != b"\r\n\r\n":
@@ -156,16 +170,16 @@ _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 def salvage(content: bytes) -> Iterator[Found]:
     """All records of an archive (plain or gzip) in order, and the gaps between them."""
-    view, at = memoryview(content), 0
+    at = 0
     while at < len(content):
         try:
-            found = _record_at(view, at)
+            found = _record_at(content, at)
         except Broken as e:
             reason, after = str(e), len(content)
             found = None
             for m in _CANDIDATE.finditer(content, at + 1):
                 try:
-                    found, after = _record_at(view, m.start()), m.start()
+                    found, after = _record_at(content, m.start()), m.start()
                     break
                 except Broken:
                     continue
@@ -187,7 +201,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     )
     long_enough = F.col("n") >= MIN_REVISIT
     kept = rows.where(long_enough).groupBy(F.col("d").alias("same"), F.col("n").alias("size")).agg(F.max("k").alias("kept"), F.count("*").alias("c")).where("c > 1").select("same", "size", "kept")
-    longest, mean = rows.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    most = F.col("n") + 3 * F.coalesce(F.octet_length("u"), F.lit(0))  # an escaped byte of the url takes three
+    longest, mean = rows.agg(F.coalesce(F.max(most), F.lit(0)), F.coalesce(F.avg(most), F.lit(0.0))).first()
     spread = rows.withColumn("same", F.when(long_enough, F.col("d")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("k").cast("string"), F.lit("none")))))
     joined = spread.join(kept, (spread["same"] == kept["same"]) & (spread["n"] == kept["size"]), "left")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("k").eqNullSafe(F.col("kept")), F.col("kept"))

@@ -268,6 +268,21 @@ def test_large_record_in_several_members(monkeypatch):
     assert [f.reason for f in found] == [None] * 3 and found[1].block.endswith(p)
 
 
+def test_headers_of_any_length(spark, monkeypatch):
+    urls = ["http://a/" + "x" * 70_000, "http://b/" + "\n" * 400_000, "http://c/" + "y" * (1 << 20)]
+    records = [warc.record(i, u, b"p", 1, hashlib.sha1(b"p").hexdigest(), None) for i, u in enumerate(urls)]
+    plain = list(warc.salvage(b"junk" + b"".join(records)))
+    assert [f.reason is None for f in plain] == [False, True, True, True]
+    assert [f.headers["warc-target-uri"] for f in plain[1:]] == [urls[0], "http://b/" + "%0A" * 400_000, urls[2]]
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 300_000)
+    assert [f.headers["warc-target-uri"] for f in warc.salvage(b"".join(map(warc.compress, records)))] == [f.headers["warc-target-uri"] for f in plain[1:]]
+    monkeypatch.undo()
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("p"))
+    path = common.fresh_path(spark, "w")
+    warc.write(df, path)
+    assert sorted((r.page_id, r.gap_reason, len(r.url)) for r in warc.read(spark, path).collect()) == [(0, None, 70_009), (1, None, 1_200_009), (2, None, (1 << 20) + 9)]
+
+
 def pages_by_hand(rows):
     most = {}
     for i, _, html in rows:
