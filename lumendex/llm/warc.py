@@ -8,7 +8,8 @@ payloads are spread by page, and hot digests are split by Spark's skew join.
 
 Reading: a record must decompress, have a version line, a header, its full block, a matching block
 digest and the closing line breaks. After a failed check the reader searches the
-next byte where a whole record can be read, and reports the bytes between as a quarantined gap.
+next byte where a whole record can be read, and reports the bytes between as a quarantined gap. A gzip member may hold many records (and
+gaps): all have its offset, the first has its length and the others 0.
 
 Null html is an empty payload; a null url leaves the field out; rows with equal ids are kept each
 (all rows of a group's largest id are responses); null ids never win, and come back null.
@@ -130,39 +131,58 @@ def _header(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
     return fields, at + 2, int(length)
 
 
-def _record_at(content: bytes, at: int) -> Found:
-    begin = at
-    if content[at : at + 2] == b"\x1f\x8b":
-        view = memoryview(content)
-        data, at = _member(view, at)
-        while True:
-            try:
-                fields, start, length = _header(data)
-                if len(data) >= start + length + 4:
-                    break
-            except Unfinished:
-                if content[at : at + 2] != b"\x1f\x8b":
-                    raise
-            if content[at : at + 2] != b"\x1f\x8b":
-                break
-            more, after = _member(view, at)
-            if _VERSION.match(more):
-                fields, start, length = _header(data)
-                break
-            data, at = data + more, after
-        if len(data) > start + length + 4:
-            raise Broken("record and member end apart")
-    else:
-        fields, start, length = _header(content, at)
-        data, start = content[at : start + length + 4], start - at
-        at += len(data)
-    block = data[start : start + length]
-    if len(block) < length or data[start + length :] != b"\r\n\r\n":
+def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Fields and block of the uncompressed record at a place, and where it ends."""
+    fields, start, length = _header(data, at)
+    after = start + length + 4
+    if len(data) < after:
+        raise Unfinished("truncated record")
+    block = data[start : after - 4]
+    if data[after - 4 : after] != b"\r\n\r\n":
         raise Broken("truncated record")
     stated = fields.get("warc-block-digest")
     if stated and stated.startswith("sha1:") and stated[5:] != hashlib.sha1(block).hexdigest():
         raise Broken("block digest differs")
-    return Found(begin, at - begin, None, fields, block)
+    return fields, block, after
+
+
+def _packed(content: bytes, at: int) -> tuple[list[Found], int]:
+    """What the gzip member at a place holds, with those that its last record goes on in, and where they end."""
+    begin, view = at, memoryview(content)
+    data, at = _member(view, at)
+    found, place, valid, lost = [], 0, 0, None
+    while place < len(data):
+        try:
+            fields, block, place = _plain(data, place)
+        except Broken as e:
+            reason = str(e)
+            if isinstance(e, Unfinished) and content[at : at + 2] == b"\x1f\x8b":
+                try:
+                    more, after = _member(view, at)
+                    if not _VERSION.match(more):
+                        data, place, at = data[place:] + more, 0, after
+                        continue
+                except Broken as damage:
+                    reason = str(damage)
+            if lost is None:
+                lost = reason
+                found.append(Found(begin, 0, reason))
+            version = _VERSION.search(data, place + 1)
+            place = version.start() if version else len(data)
+        else:
+            found.append(Found(begin, 0, None, fields, block))
+            valid, lost = valid + 1, None
+    if not valid:
+        raise Broken(lost or "no version line")
+    found[0].length = at - begin
+    return found, at
+
+
+def _records_at(content: bytes, at: int) -> tuple[list[Found], int]:
+    if content[at : at + 2] == b"\x1f\x8b":
+        return _packed(content, at)
+    fields, block, after = _plain(content, at)
+    return [Found(at, after - at, None, fields, block)], after
 
 
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -173,21 +193,20 @@ def salvage(content: bytes) -> Iterator[Found]:
     at = 0
     while at < len(content):
         try:
-            found = _record_at(content, at)
+            found, end = _records_at(content, at)
         except Broken as e:
-            reason, after = str(e), len(content)
-            found = None
+            reason, after, found = str(e), len(content), []
             for m in _CANDIDATE.finditer(content, at + 1):
                 try:
-                    found, after = _record_at(content, m.start()), m.start()
+                    (found, end), after = _records_at(content, m.start()), m.start()
                     break
                 except Broken:
                     continue
             yield Found(at, after - at, reason)
-            if found is None:
+            if not found:
                 return
-        yield found
-        at = found.offset + found.length
+        yield from found
+        at = end
 
 
 # -- jobs ----------------------------------------------------------------------------------

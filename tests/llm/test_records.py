@@ -268,6 +268,29 @@ def test_large_record_in_several_members(monkeypatch):
     assert [f.reason for f in found] == [None] * 3 and found[1].block.endswith(p)
 
 
+def test_members_of_many_records(monkeypatch):
+    def told(content):
+        found = list(warc.salvage(content))
+        assert sum(f.length for f in found) == len(content)
+        return [f.reason and "gap" or int(f.headers["warc-record-id"].rsplit(":", 1)[1].rstrip(">")) for f in found]
+
+    plain = archive(9, packed=False)
+    bad = plain[4].replace(b"<p>4", b"<q>4", 1)
+    assert told(warc.compress(b"".join(plain))) == list(range(9))
+    assert told(warc.compress(b"".join(plain[:3])) + warc.compress(plain[3]) + warc.compress(b"".join(plain[4:]))) == list(range(9))
+    assert told(warc.compress(b"".join([*plain[:4], bad, *plain[5:]]))) == [0, 1, 2, 3, "gap", 5, 6, 7, 8]
+    assert told(warc.compress(b"tail of another" + b"".join(plain[:2]) + plain[2][:-9]) + warc.compress(plain[3])) == ["gap", 0, 1, "gap", 3]
+    # Records lie across the borders of members; a damaged member takes only the records that it has part of.
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 700)
+    whole = warc.compress(b"".join(plain))
+    assert told(whole) == list(range(9))
+    second = whole.index(b"\x1f\x8b\x08", whole.index(b"\x1f\x8b\x08", 1) + 1)
+    damaged = bytearray(whole)
+    damaged[second + 40] ^= 0xFF
+    got = told(bytes(damaged))
+    assert got.count("gap") >= 1 and {0, 1, 6, 7, 8} <= set(got)
+
+
 def test_headers_of_any_length(spark, monkeypatch):
     urls = ["http://a/" + "x" * 70_000, "http://b/" + "\n" * 400_000, "http://c/" + "y" * (1 << 20)]
     records = [warc.record(i, u, b"p", 1, hashlib.sha1(b"p").hexdigest(), None) for i, u in enumerate(urls)]
