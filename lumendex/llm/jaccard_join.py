@@ -14,7 +14,8 @@ So a class is a connected component of "similarity at least the threshold", and
 threshold, copies included. A hot group of n different near copies costs n * n / BLOCK_TEXTS rows of tiles, spread over tasks.
 
 Null and empty texts are sets of their own kind (see ``shingles``), so they are copies of each other. Rows with a
-null key take no part. Rows of one key are one document. Results have one row for each distinct key.
+null key take no part. To ``join`` rows of one key are one document, and results have one row for each distinct key; ``keep_one`` tells
+texts of one key apart.
 """
 
 from __future__ import annotations
@@ -278,11 +279,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest key of each class, one row of it, and rows without a key."""
+    """The document with the smallest key of each class, one row of it, and rows without a key. Texts that share a key are documents of their own."""
+    keyed = docs.where(F.col(key).isNotNull())
+    if keyed.count() > keyed.select(key).distinct().count():
+        return _keep_one_text(keyed, key, text).unionByName(docs.where(F.col(key).isNull()))
     found = common.durable(join(docs, key, text), "classes")
     gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).cast(docs.schema[key].dataType).alias(key))
-    kept = docs.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)
-    repeated = docs.where(F.col(key).isNotNull()).count() > found.count()
-    if not repeated:
-        return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    return docs.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)
+
+
+def _keep_one_text(keyed: DataFrame, key: str, text: str) -> DataFrame:
+    """``keep_one`` where keys repeat: classes are of (key, text), each with a number of its own."""
+    texts = keyed.select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
+    texts = common.durable(texts.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    found = common.durable(join(texts, "id", "text"), "classes")
+    first = F.min(F.struct("key", F.xxhash64("text").alias("h"), "id"))
+    best = found.join(texts, "id").groupBy("class_id").agg(first.alias("first")).select("first.id")
+    kept = texts.join(best, "id").select(F.col("key").alias("kept_key"), F.col("text").alias("kept_text"))
+    same = (keyed[key] == kept["kept_key"]) & keyed[text].eqNullSafe(kept["kept_text"])
+    return keyed.join(kept.hint("merge"), same, "left_semi").dropDuplicates([key, text])

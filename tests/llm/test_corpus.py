@@ -125,6 +125,20 @@ def test_keep_one(spark):
     assert sum(r.doc_id is None for r in got.collect()) == 2
 
 
+def test_keep_one_tells_texts_of_a_key_apart(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (words(r, 60) for _ in range(5))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    text = " ".join
+    rows = [(0, text(a)), (1, near(a)), (1, text(b)), (1, text(b)), (2, text(c)), (2, near(c)), (3, text(d)), (3, text(e)), (3, None), (4, near(b)), (4, ""), (None, text(a)), (None, text(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1))
+    out = jaccard_join.keep_one(df.repartition(3))
+    got = sorted(((x.doc_id, x.text) for x in out.collect()), key=repr)
+    one = [x for x in got if x[0] == 2]
+    assert out.columns == df.columns and len(one) == 1 and one[0][1] in (text(c), near(c))
+    assert sorted([x for x in got if x[0] != 2], key=repr) == sorted([(0, text(a)), (1, text(b)), (3, text(d)), (3, text(e)), (3, None), (None, text(a)), (None, text(a))], key=repr)
+
+
 def test_components(spark):
     r = random.Random(3)
     pairs = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 40)]
