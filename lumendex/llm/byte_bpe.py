@@ -71,16 +71,16 @@ class _Known(dict):
         return at
 
 
-class _Slots:
-    """An open hash table over numpy arrays: short pieces, packed into a number with their length, to their index."""
+class Slots:
+    """An open hash table over numpy arrays: keys (64-bit numbers other than 0) to numbers that aren't negative."""
 
-    def __init__(self):
-        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.values = np.zeros(1 << SLOT_BITS, np.int64)
+    def __init__(self, bits: int):
+        self.bits, self.used = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, np.int64)
 
-    @staticmethod
-    def places(keys: np.ndarray) -> np.ndarray:
-        return ((keys * _SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The index of each key, -1 for those that aren't there."""
@@ -90,20 +90,21 @@ class _Slots:
             rest = np.flatnonzero(out < 0)
             if not len(rest):
                 break
-            again = (at[rest] + step) & ((1 << SLOT_BITS) - 1)
+            again = (at[rest] + step) & ((1 << self.bits) - 1)
             out[rest] = np.where(self.keys.take(again) == keys[rest], self.values.take(again), -1)
         return out
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Keep what finds a free place; the rest is looked up as long pieces are."""
+        """Keep what finds a free place; the rest stays unknown."""
         keys, first = np.unique(keys, return_index=True)
         for key, at, value in zip(keys, self.places(keys).tolist(), values[first].tolist(), strict=True):
             for step in range(PROBES):
-                slot = (at + step) & ((1 << SLOT_BITS) - 1)
+                slot = (at + step) & ((1 << self.bits) - 1)
                 if self.keys[slot] == key:
                     break
                 if not self.keys[slot]:
                     self.keys[slot], self.values[slot] = key, value
+                    self.used += 1
                     break
 
 
@@ -111,7 +112,8 @@ class PieceIndex:
     """Numbers pieces by first use, calling ``learn`` for each new one."""
 
     def __init__(self, learn: Callable[[bytes], None]):
-        self._known, self._slots = _Known(learn), _Slots()
+        # Short pieces are packed into a number with their length.
+        self._known, self._slots = _Known(learn), Slots(SLOT_BITS)
 
     def __len__(self) -> int:
         return len(self._known)
@@ -133,15 +135,16 @@ class PieceIndex:
         return out
 
 
+def gather_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], ... starts[i] + lengths[i] - 1 for all i, joined."""
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return at
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """pool[starts[i] : starts[i] + lengths[i]] for all i, joined."""
-    total = int(lengths.sum())
-    if not total:
-        return pool[:0]
-    before = np.cumsum(lengths) - lengths
-    at = np.repeat(starts - before, lengths)
-    at += np.arange(total)
-    return pool.take(at)
+    return pool.take(gather_places(starts, lengths)) if len(starts) else pool[:0]
 
 
 class ByteBpe:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -104,6 +105,43 @@ def test_every_prefix(words):
             assert count.budgets([plain], budget)[1].tolist() == [best]
 
 
+DECOMPOSED = ["e\u0301", "o\u031b\u0301", "q\u0307\u0323", "\u1112\u1161\u11ab", "\u0301", "İ", "Σ", "か\u3099", "a", "'", "r", " ", "\n", "<|endoftext|>", "<|", "!", "—", "é", "1"]
+
+
+def test_every_prefix_of_the_text_as_given(words):
+    count, r = prefix_counts.Counter(), random.Random(2)
+    texts = ["".join(r.choice(DECOMPOSED) for _ in range(r.randint(0, 14))) for _ in range(400)] + ["x!<|endoftext|>'re", "'re\u0301 '"]
+    for text in texts:
+        table = count.prefix_table(text)
+        assert [table.at(n) for n in range(len(text) + 1)] == [len(words.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)], text
+        n = table.longest(3)
+        assert table.at(n) <= 3 and count.budgets([text], 3)[1].tolist() == [n]
+        assert n == len(text) or unicodedata.normalize("NFC", text[:n]) + unicodedata.normalize("NFC", text[n:]) == unicodedata.normalize("NFC", text)
+
+
+def test_limits_are_of_the_text_as_given(spark, words):
+    text = "e\u0301 " * 3000
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (1, text, "z"), (None, "", None)], "doc_id long, text string, n_tokens string")
+    got = prefix_counts.count_tokens(df, 2048).collect()
+    first = [r for r in got if r.doc_id == 1]
+    n = first[0].chars_in_limit
+    assert len(first) == 2 and first[0] == first[1] and first[0].n_tokens == 3000 and first[0].n_bytes == 12000
+    fits = lambda k: len(words.encode(text[:k], add_special_tokens=False).ids) <= 2048
+    assert n == 3 * 2048 and fits(n) and not fits(n + 1)
+    assert {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit, r.chars_in_limit) for r in got if r.doc_id != 1} == {(2, 0, 0, False, 0), (None, 0, 0, False, 0)}
+    assert prefix_counts.count_tokens(df.limit(0), 3).collect() == []
+    stored = {r.doc_id: r.counts for r in prefix_counts.prefix_tables(df).collect()}
+    assert stored[2] == [0] and len(stored[1]) == 9001 and stored[1][9000] == 3000 and stored[1][3 * 2048] == 2048
+
+
+def test_words_together_are_words_alone():
+    r = random.Random(6)
+    tables = prefix_counts.WordTables()
+    some = sorted({"".join(r.choices("abcdeinst", k=r.randint(1, 20))) for _ in range(300)} | {"é" * k for k in range(1, 9)} | {"漢字", "x" * 200, "12", "'", "'re", "internationalisation"})
+    counts, ends = tables.tables([w.encode() for w in some])
+    assert [counts[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [list(tables.table(w)) for w in some]
+
+
 def test_op9_over_the_table(spark, sf_dir, words):
     rows = {r.doc_id: r.text or "" for r in common.table(spark, sf_dir, "documents").collect()}
     got = contract.op9_token_counts(spark, sf_dir).collect()
