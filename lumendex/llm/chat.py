@@ -10,8 +10,9 @@ window stays within the budget unless a single turn is longer. Windows after the
 (if the conversation begins with one) and as many turns before as fit ``history`` tokens. Every turn is new in one window only: the
 loss mask covers the escaped texts of new assistant turns, never repeated ones.
 
-A conversation of more than ``PART_TURNS`` turns is dealt by turn into parts of about so many, each a sorted stream of its own, so that no task
-has to read a very long conversation alone. Parts carry on one line of tokens: one row a part tells the tokens before it, the last turn before it and the windows
+A conversation of more than ``PART_TURNS`` turns is dealt by its order into parts of about so many turns, each a sorted stream of its own, so that no task
+has to read a very long conversation alone; equal, missing or outlying turn numbers don't matter to that, only turns that agree in number, role and the first
+``PREFIX`` characters of different texts stay together. Parts carry on one line of tokens: one row a part tells the tokens before it, the last turn before it and the windows
 that begin within the history after it, so windows are those of the whole conversation. Only windows are collected, and these are bounded by the budget. Order is by turn, then role, then text; null turns
 first. Null roles and texts are empty; a null conv_id is a conversation like any other; repeated rows are turns each. Empty tables give
 no windows.
@@ -27,7 +28,8 @@ from . import common
 OPEN, SHUT, BEGIN, END = "[INST]", "[/INST]", "<s>", "</s>"
 #: The template's control strings.
 CONTROLS = (BEGIN, END, OPEN, SHUT)
-PART_TURNS = 4096
+#: Turns of a part, at least; parts at most; characters of a text that decide where parts are cut.
+PART_TURNS, MOST_PARTS, PREFIX = 4096, 2000, 64
 
 
 def escaped(text: Column) -> Column:
@@ -56,29 +58,12 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
         raise ValueError("the history must leave room in the budget")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("size", (tokens_of(F.col("text")) + frame).cast("bigint"))
-    # Turns' bounds of the long conversations, one row for at least PART_TURNS turns; Spark sees its size before it joins.
-    counts = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high")).where(F.col("n") > PART_TURNS)
-    long_ = common.durable(counts.select(F.col("conv_id").alias("c"), F.ceil(F.col("n") / PART_TURNS).alias("parts"), "low", "high"), "long")
+    # One row for at least PART_TURNS turns; Spark sees its size before it joins.
+    counts = rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > PART_TURNS)
+    long_ = common.durable(counts.select(F.col("conv_id").alias("c"), "n"), "long")
     same = F.col("conv_id").eqNullSafe(F.col("c"))
-    low, turn = F.col("low").cast("double"), F.col("turn").cast("double")
-    share = F.floor((turn - low) / (F.col("high").cast("double") - low + 1) * F.col("parts"))
-    within = F.greatest(F.least(share, F.col("parts") - 1), F.lit(0))
-    dealt = rows.join(long_, same).withColumn("run", F.when(F.col("turn").isNull(), F.lit(0)).otherwise(within).cast("bigint"))
-    dealt = dealt.select("conv_id", "run", "turn", "role", "text", "size")
-    # One row a part: the tokens before it, the size of the last turn before it, the conversation's system turn.
-    whole = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "size")
-    sums = dealt.groupBy("conv_id", "run").agg(F.sum("size").alias("total"), F.min(whole).alias("opening"), F.max(whole)["size"].alias("closing"))
-    parts = Window.partitionBy("conv_id").orderBy("run")
-    opening = F.first("opening").over(parts)
-    told = sums.select(
-        F.col("conv_id").alias("c"), F.col("run").alias("r"),
-        (F.sum("total").over(parts.rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("offset"),
-        "total",
-        F.lag("closing").over(parts).alias("prior"),
-        F.when(opening["role"] == "system", F.struct(opening["role"].alias("role"), opening["text"].alias("text"), opening["size"].alias("size"))).alias("system"),
-    )
-    told = common.durable(told, "parts")
-    part_of = same & (F.col("run") == F.col("r"))
+    many = long_.agg(F.sum("n")).first()[0] or 0
+    dealt = _dealt(rows.join(long_, same).select(*rows.columns), min(MOST_PARTS, -(-many // PART_TURNS))) if many else None
 
     def room() -> Column:
         # A long system turn leaves at least a quarter of the budget to the other turns.
@@ -107,6 +92,28 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
         near = Window.partitionBy(*keys).orderBy("before").rangeBetween(1, history)
         return turns.withColumn("later", F.collect_list(F.when(F.col("begins"), F.col("window"))).over(near))
 
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("run", "offset")]
+    short = rows.join(long_, same, "left_anti") if many else rows
+    short = short.select("*", *none, F.lit(None).cast("bigint").alias("prior"))
+    short_rows = _formatted(shown_later(marked(short, ["conv_id"], None), ["conv_id"]))
+    if dealt is None:
+        return short_rows
+
+    # One row a part: the tokens before it, the size of the last turn before it, the conversation's system turn.
+    whole = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "size")
+    sums = dealt.groupBy("conv_id", "run").agg(F.sum("size").alias("total"), F.min(whole).alias("opening"), F.max(whole)["size"].alias("closing"))
+    parts = Window.partitionBy("conv_id").orderBy("run")
+    opening = F.first("opening").over(parts)
+    told = sums.select(
+        F.col("conv_id").alias("c"), F.col("run").alias("r"),
+        (F.sum("total").over(parts.rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("offset"),
+        "total",
+        F.lag("closing").over(parts).alias("prior"),
+        F.when(opening["role"] == "system", F.struct(opening["role"].alias("role"), opening["text"].alias("text"), opening["size"].alias("size"))).alias("system"),
+    )
+    told = common.durable(told, "parts")
+    part_of = same & (F.col("run") == F.col("r"))
+
     # Windows that begin within the first ``history`` tokens of the parts, told to the parts before.
     divided = marked(dealt.join(told, part_of).drop("c", "r"), ["conv_id", "run"], F.col("system"))
     starts = divided.where(F.col("begins") & (F.col("before") - F.col("offset") < history)).groupBy("conv_id", "run").agg(F.collect_list(F.struct("before", "window")).alias("starts"))
@@ -117,11 +124,22 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, frame: int
     carried = F.filter("ahead", lambda x: x["before"] - F.col("before") <= history)
     long_rows = shown_later(divided, ["conv_id", "run"]).join(ahead, part_of, "left")
     long_rows = long_rows.withColumn("later", F.concat("later", F.coalesce(F.transform(carried, lambda x: x["window"]), F.array().cast("array<bigint>"))))
-
-    none = [F.lit(0).cast("bigint").alias(c) for c in ("run", "offset")]
-    short = rows.join(long_, same, "left_anti").select("*", *none, F.lit(None).cast("bigint").alias("prior"))
-    short_rows = shown_later(marked(short, ["conv_id"], None), ["conv_id"])
-    return _formatted(short_rows).unionByName(_formatted(long_rows))
+    return short_rows.unionByName(_formatted(long_rows))
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """The turns of long conversations with their ``run``, which rises with their order from 0; runs hold about the same number of turns."""
+    alike = rows.groupBy(*rows.columns).agg(F.count("*").alias("m"))
+    sliced = alike.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / PART_TURNS))))
+    # Bounds are sampled by Spark, so keys must be short.
+    whole_role = F.length("role") < PREFIX
+    keys = [F.substring("role", 1, PREFIX), F.when(whole_role, F.substring("text", 1, PREFIX)), F.when(whole_role & (F.length("text") < PREFIX), F.col("slice"))]
+    ranged = sliced.repartitionByRange(parts, F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), *keys)
+    copies = F.sequence(F.lit(1).cast("bigint"), F.least(F.col("m") - F.col("slice") * PART_TURNS, F.lit(PART_TURNS)))
+    found = ranged.select("*", F.spark_partition_id().cast("bigint").alias("run")).select(*rows.columns, "run", F.explode(copies).alias("copy"))
+    found = common.durable(found.select("conv_id", "run", "turn", "role", "text", "size"), "dealt")
+    least = found.groupBy("conv_id").agg(F.min("run").alias("least")).withColumnRenamed("conv_id", "c")
+    return found.join(least, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("run", F.col("run") - F.col("least")).drop("c", "least")
 
 
 def _formatted(turns: DataFrame) -> DataFrame:
