@@ -2,13 +2,14 @@
 
 Vectors and queries are packed into blocks where they lie, without an exchange. Each tile (a
 block of queries against a block of vectors) is one matrix product of whole numbers, from
-which the best k of each query are selected; lists of up to ``FAN_IN`` tiles are merged at a time, level by
-level, so no task ever holds more than FAN_IN * k rows of a query. A product is computed in doubles only if all
-its sums are below 2**53, else in 64-bit integers, so scores are exact.
+which the best k of each query are selected. A query's lists, one for each block of vectors, are merged as a tree: about ``FAN_IN`` lists at a time, with as
+many levels as their number asks for. A product is computed in doubles if all
+its sums are below 2**53, else in 64-bit integers, else in Python's, so scores are exact; a score beyond 64 bits is given, and ranked, as the nearest number that fits.
 
 Null vectors, and those with null or non-finite components, take no part, nor do null ids. Vectors are
-compared with those of their own length only. Ties go to the smaller id. Rows
-with the query's own id are no candidates; other repeated rows count each. Too few candidates give all of them.
+compared with those of their own length only (of any length, none included). Ties go to the smaller id. Rows
+with the query's own id are no candidates; other repeated rows count each, and of repeated query rows each gets its own list. Too few candidates give all of
+them, empty tables none. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ def quantised(vector: str, scale: float) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
 
 
+def largest(values: np.ndarray) -> int:
+    """The largest absolute value (that of the least 64-bit number, too)."""
+    return max(-int(values.min()), int(values.max())) if values.size else 0
+
+
 def _packed(rows: DataFrame, size: int, prefix: str) -> DataFrame:
     """Rows of id, v packed into blocks of up to ``size`` rows of one length."""
 
@@ -44,11 +50,11 @@ def _packed(rows: DataFrame, size: int, prefix: str) -> DataFrame:
         def block(dim: int) -> pa.RecordBatch:
             ids, parts = held.pop(dim)
             values = np.concatenate(parts)
-            top = int(np.abs(values).max(initial=0))
+            top = largest(values)
             kind = next(k for k in _KINDS if top <= np.iinfo(k).max)
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([kind]), pa.array([top], pa.int64()), pa.array([values.astype(kind).tobytes()])],
-                names=["dim", "ids", "kind", "top", "data"],
+                [pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([kind]), pa.array([values.astype(kind).tobytes()])],
+                names=["dim", "ids", "kind", "data"],
             )
 
         for batch in batches:
@@ -67,7 +73,7 @@ def _packed(rows: DataFrame, size: int, prefix: str) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    out = rows.select("id", "v").mapInArrow(run, "dim int, ids binary, kind string, top bigint, data binary")
+    out = rows.select("id", "v").mapInArrow(run, "dim int, ids binary, kind string, data binary")
     return out.select(*[F.col(c).alias(f"{prefix}_{c}") for c in out.columns], F.monotonically_increasing_id().alias(f"{prefix}_block"))
 
 
@@ -86,18 +92,24 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return rows[rank < k], columns[rank < k]
 
 
-def tile(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, vector ids and scores of one tile's selection."""
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    if bound >= 1 << 63:
-        raise OverflowError("inner products of these vectors may not fit 64 bits")
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """All inner products, clamped to the numbers above the least 64-bit one, which masks."""
+    bound = largest(queries) * largest(vectors) * max(1, queries.shape[1])
     if bound < 1 << 53:
-        scores = (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    else:
-        scores = queries.astype(np.int64) @ vectors.astype(np.int64).T
+        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
+    if bound < 1 << 63:
+        return queries.astype(np.int64) @ vectors.astype(np.int64).T
+    exact = queries.astype(object) @ vectors.astype(object).T
+    most = np.iinfo(np.int64).max
+    return np.clip(exact, -most, most).astype(np.int64)
+
+
+def tile(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the queries, vector ids and scores of one tile's selection."""
+    scores = products(queries, vectors)
     scores[q_ids[:, None] == v_ids[None, :]] = np.iinfo(np.int64).min
     rows, columns = best(scores, v_ids, k)
-    return q_ids[rows], v_ids[columns], scores[rows, columns]
+    return rows, v_ids[columns], scores[rows, columns]
 
 
 def _tiles(pairs: DataFrame, k: int) -> DataFrame:
@@ -113,10 +125,20 @@ def _tiles(pairs: DataFrame, k: int) -> DataFrame:
                 q, v = (matrix(x[f"{s}_dim"], x[f"{s}_kind"], x[f"{s}_data"]) for s in "qv")
                 if not x["q_dim"]:
                     q, v = np.zeros((len(q_ids), 0), np.int64), np.zeros((len(v_ids), 0), np.int64)
-                a, b, s = tile(q, q_ids, v, v_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array(np.full(len(a), x["v_block"]))], names=["query_id", "vec_id", "score", "part"])
+                rows, b, s = tile(q, q_ids, v, v_ids, k)
+                of_block = [pa.array(np.full(len(rows), x[c])) for c in ("q_block", "v_block")]
+                yield pa.RecordBatch.from_arrays([of_block[0], pa.array(rows), pa.array(q_ids[rows]), pa.array(b), pa.array(s), of_block[1]], names=["q_block", "q_row", "query_id", "vec_id", "score", "part"])
+
+    return pairs.mapInArrow(run, "q_block bigint, q_row bigint, query_id bigint, vec_id bigint, score bigint, part bigint")
 
-    return pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, part bigint")
+
+def levels(lists: int) -> list[int]:
+    """Into how many groups a query's lists are dealt, level by level, before the last merge of all that are left."""
+    out, groups = [], -(-lists // FAN_IN)
+    while groups > 1:
+        out.append(groups)
+        groups = -(-groups // FAN_IN)
+    return out
 
 
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -129,14 +151,13 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     # The stated queries, in blocks, go to every shard; vectors are moved once, and a tile is computed where its blocks meet.
     asked = _packed(queries, QUERY_ROWS, "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = _tiles(asked.join(blocks, "shard").where("q_dim = v_dim").drop("shard"), k)
+    # A block for every BLOCK_ROWS rows, and a smaller one for each task and length of vectors at most.
+    lists = vectors.count() // BLOCK_ROWS + vectors.rdd.getNumPartitions()
     by_rank = [F.desc("score"), F.asc("vec_id")]
-    level, groups = F.pmod(F.xxhash64("part"), F.lit(1 << 30)), 1
-    while groups * FAN_IN < shards:
-        groups *= FAN_IN
-    while groups > 1:
-        found = found.withColumn("g", F.pmod(level, F.lit(groups)))
-        best_of = F.row_number().over(Window.partitionBy("query_id", "g").orderBy(*by_rank))
-        found = found.withColumn("r", best_of).where(F.col("r") <= k).drop("r", "g")
-        groups //= FAN_IN
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_rank)).cast("int")
+    query = ["q_block", "q_row", "query_id"]
+    for groups in levels(lists):
+        found = found.withColumn("g", F.pmod(F.xxhash64("part"), F.lit(groups)))
+        best_of = F.row_number().over(Window.partitionBy(*query, "g").orderBy(*by_rank))
+        found = found.withColumn("r", best_of).where(F.col("r") <= k).drop("r").withColumn("part", F.col("g")).drop("g")
+    rank = F.row_number().over(Window.partitionBy(*query).orderBy(*by_rank)).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
