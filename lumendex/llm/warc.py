@@ -1,23 +1,25 @@
 """WARC archives and their salvage reader (operator 8).
 
-Writing: each page is a record in gzip members of its own; of equal payloads from ``MIN_REVISIT``
+Writing: each page is a record in a gzip member of its own; of equal payloads from ``MIN_REVISIT``
 bytes on, the page with the largest id keeps the payload (response), the others point
 to it (revisit). Groups are found by a pre-aggregated count of digests; the join back has
 payload digests as keys, only where a payload is long enough, so short
 payloads are spread by page, and hot digests are split by Spark's skew join.
 
 Reading: a record must decompress, have a version line, a header, its full block, a matching block
-digest and the closing line breaks. After a failed check the reader searches the
+digest (if it states one of a known algorithm, in hex or base32) and the closing line breaks. After a failed check the reader searches the
 next byte where a whole record can be read, and reports the bytes between as a quarantined gap. A gzip member may hold many records (and
 gaps): all have its offset, the first has its length and the others 0.
 
 Null html is an empty payload; a null url leaves the field out; rows with equal ids are kept each
-(all rows of a group's largest id are responses); null ids never win, and come back null.
-Pages of 16 MiB and more take several members. Empty tables give no records.
+(all rows of a group's largest id are responses); null ids never win, and come back null, as do identities that hold no 64-bit number.
+A record without a type has the type "unknown". Long texts are one member, however long (one of 15 MiB and more is followed by an empty member). Empty tables
+give no records. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_REVISIT = 1000
-#: A member has less than 2**24 bytes, so that its last one (of its size) is 0; uncompressed, a file has about FILE_BYTES and never more than MOST_BYTES.
+#: A member that ends its row has less than 2**24 bytes, so that its last one (of its size) is 0; uncompressed, a file has about FILE_BYTES and never more than MOST_BYTES.
 MEMBER_BYTES, FILE_BYTES, MOST_BYTES = 15 << 20, 64 << 20, 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,12 +70,18 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _deflated(data: bytes) -> bytes:
+    member = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return member.compress(data) + member.flush()
+
+
+#: A gzip member of no data: it ends in a zero byte.
+EMPTY = _deflated(b"")
+
+
 def compress(data: bytes) -> bytes:
-    out = []
-    for at in range(0, len(data), MEMBER_BYTES):
-        member = zlib.compressobj(6, zlib.DEFLATED, 31)
-        out.append(member.compress(data[at : at + MEMBER_BYTES]) + member.flush())
-    return b"".join(out)
+    """One member, which ends in a zero byte; a large one is followed by an empty one for that."""
+    return _deflated(data) if len(data) < MEMBER_BYTES else _deflated(data) + EMPTY
 
 
 @dataclass
@@ -126,11 +134,32 @@ def _header(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
         at = end + 2
     length = fields.get("content-length", "")
-    if not length.isascii() or not length.isdigit():
+    if not re.fullmatch("[0-9]{1,18}", length):
         raise Broken("bad content length")
     return fields, at + 2, int(length)
 
 
+#: Names of digests, without punctuation, in lower case.
+_ALGORITHMS = {"sha1": hashlib.sha1, "md5": hashlib.md5, "sha256": hashlib.sha256, "sha512": hashlib.sha512}
+
+
+def _digest(stated: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and value of a stated digest (hex or base32, either case); None if it isn't of a known kind."""
+    name, _, value = (stated or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in _ALGORITHMS:
+        return None
+    size = _ALGORITHMS[name]().digest_size
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        bare = value.rstrip("=").upper()
+        found = base64.b32decode(bare + "=" * (-len(bare) % 8))
+    except ValueError:
+        return None
+    return (name, found) if len(found) == size else None
+
+
 def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Fields and block of the uncompressed record at a place, and where it ends."""
     fields, start, length = _header(data, at)
@@ -140,8 +169,8 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     block = data[start : after - 4]
     if data[after - 4 : after] != b"\r\n\r\n":
         raise Broken("truncated record")
-    stated = fields.get("warc-block-digest")
-    if stated and stated.startswith("sha1:") and stated[5:] != hashlib.sha1(block).hexdigest():
+    stated = _digest(fields.get("warc-block-digest"))
+    if stated and stated[1] != _ALGORITHMS[stated[0]](block).digest():
         raise Broken("block digest differs")
     return fields, block, after
 
@@ -150,6 +179,8 @@ def _packed(content: bytes, at: int) -> tuple[list[Found], int]:
     """What the gzip member at a place holds, with those that its last record goes on in, and where they end."""
     begin, view = at, memoryview(content)
     data, at = _member(view, at)
+    if not data:
+        return [], at
     found, place, valid, lost = [], 0, 0, None
     while place < len(data):
         try:
@@ -174,6 +205,8 @@ def _packed(content: bytes, at: int) -> tuple[list[Found], int]:
             valid, lost = valid + 1, None
     if not valid:
         raise Broken(lost or "no version line")
+    if content.startswith(EMPTY, at):
+        at += len(EMPTY)
     found[0].length = at - begin
     return found, at
 
@@ -198,10 +231,12 @@ def salvage(content: bytes) -> Iterator[Found]:
             reason, after, found = str(e), len(content), []
             for m in _CANDIDATE.finditer(content, at + 1):
                 try:
-                    (found, end), after = _records_at(content, m.start()), m.start()
-                    break
+                    found, end = _records_at(content, m.start())
                 except Broken:
                     continue
+                if found:
+                    after = m.start()
+                    break
             yield Found(at, after - at, reason)
             if not found:
                 return
@@ -249,19 +284,21 @@ def read(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
 
     def number(identity: str | None) -> int | None:
         tail = (identity or "").rstrip(">").rsplit(":", 1)[-1]
-        return int(tail) if re.fullmatch(r"-?\d+", tail) else None
+        found = int(tail) if re.fullmatch(r"-?[0-9]{1,19}", tail) else None
+        return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
 
     def row(name: str, f: Found) -> tuple:
         if f.reason is not None:
             return (name, f.offset, f.length, f.reason, None, None, None, None, None, None)
         h = f.headers
         head, _, payload = f.block.partition(b"\r\n\r\n")
-        if h["warc-type"] == "revisit":
-            stated = re.search(rb"(?i)\r\ncontent-length: (\d+)", head)
-            size, digest = int(stated[1]) if stated else None, h.get("warc-payload-digest", "").removeprefix("sha1:")
+        kind = h.get("warc-type") or "unknown"
+        if kind == "revisit":
+            stated, told = re.search(rb"(?i)\r\ncontent-length: ([0-9]{1,18})\r\n", head + b"\r\n"), _digest(h.get("warc-payload-digest"))
+            size, digest = int(stated[1]) if stated else None, told[1].hex() if told else None
         else:
             size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-        return (name, f.offset, f.length, None, number(h.get("warc-record-id")), h["warc-type"], number(h.get("warc-refers-to")), h.get("warc-target-uri"), size, digest)
+        return (name, f.offset, f.length, None, number(h.get("warc-record-id")), kind, number(h.get("warc-refers-to")), h.get("warc-target-uri"), size, digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

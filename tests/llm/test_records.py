@@ -1,9 +1,11 @@
 """Operators 1, 3, 7 and 8 against brute force."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -137,6 +139,34 @@ def test_large_products_are_exact():
     q = np.array([[2**30, 1]])
     v = np.array([[2**30, 1], [2**30, 2]])
     assert topk.tile(q, np.array([1]), v, np.array([2, 3]), 5)[2].tolist() == [2**60 + 2, 2**60 + 1]
+    # Beyond 64 bits: exact as long as they fit, else the nearest that fits; a masked product doesn't matter.
+    huge, least = np.array([[10**7] * 64, [2**62, 2**62] + [0] * 62]), np.array([[-(2**63)] + [0] * 63])
+    assert topk.tile(huge, np.array([1, 2]), huge, np.array([1, 2]), 5)[2].tolist() == [2**63 - 1] * 2
+    assert topk.tile(least, np.array([1]), np.array([[1] + [7] * 63, [-1] + [7] * 63, [0] * 64]), np.array([2, 3, 4]), 5)[2].tolist() == [2**63 - 1, 0, -(2**63 - 1)]
+    assert topk.largest(np.array([-(2**63), 5])) == 2**63
+
+
+def test_merge_levels(spark, monkeypatch):
+    assert topk.levels(16) == [] and topk.levels(17) == [2] and topk.levels(5000) == [313, 20, 2]
+    r = random.Random(3)
+    rows = [(i, [r.randint(-9, 9) for _ in range(2)]) for i in range(900)]
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(5)
+    assert len(topk.levels(df.count() // 3 + 5)) == 2  # and the last merge: three levels
+    got = {}
+    for x in topk.exact_topk(df.where("id % 100 = 0"), df, 7).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    for i in range(0, 900, 100):
+        best = sorted((-sum(a * b for a, b in zip(rows[i][1], w, strict=True)), j) for j, w in rows if j != i)[:7]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
+def test_topk_of_repeated_queries_and_of_nothing(spark):
+    rows = [(50, [1, 1], "x"), (50, [2, -1], "y"), (3, [3, 3], "z"), (7, [3, 3], "z"), (7, [3, 3], "z"), (9, [], "e"), (100, [], "e")]
+    df = spark.createDataFrame(rows, "id long, v array<long>, score string").withColumns({"rank": F.lit(1), "part": F.lit("p"), "v_block": F.lit(0)})
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.exact_topk(df.where("id % 50 = 0"), df, 2).collect())
+    assert got == [(50, 1, 3, 3), (50, 1, 3, 6), (50, 2, 7, 3), (50, 2, 7, 6), (100, 1, 9, 0)]
+    assert topk.exact_topk(df.limit(0), df, 2).collect() == [] and topk.exact_topk(df, df.limit(0), 2).collect() == []
 
 
 # -- operator 7 ----------------------------------------------------------------------------
@@ -209,6 +239,24 @@ def test_parts_give_the_windows_of_the_whole(spark, monkeypatch):
         assert told() == whole
 
 
+def test_long_conversations_at_the_default_size(spark, monkeypatch):
+    # As many turns as make two parts and more; equal, missing and outlying numbers of turns; the same turn over and over.
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} " * (t % 4)) for t in range(4097)]
+    rows += [(2, 5, ("user", "assistant")[t % 2], f"said {t}") for t in range(10_000)]
+    rows += [(3, None, "assistant", f"{t} times") for t in range(5000)] + [(3, 2**62, "user", "far")]
+    rows += [(4, 1, "assistant", "the same")] * 9000 + [(4, 0, "system", "rule"), (None, 1, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def told():
+        return sorted((repr(x.conv_id), x.formatted, x.repeated, x.loss, x.tokens) for x in chat.windows(df).collect())
+
+    parted = told()
+    longest = chat.windows(df).groupBy((F.col("first") / F.lit(1 << 32)).cast("int")).count().count()
+    assert longest >= 5
+    monkeypatch.setattr(chat, "PART_TURNS", 1 << 40)
+    assert told() == parted
+
+
 def test_windows_keep_the_budget(spark):
     rows = [(1, 0, "system", "rule " * 5)] + [(1, t, ("user", "assistant")[t % 2], "w " * (t % 7 + 1)) for t in range(1, 200)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -258,17 +306,33 @@ def test_salvage_after_damage():
     assert list(warc.salvage(b"")) == []
 
 
-def test_large_record_in_several_members(monkeypatch):
+def test_large_record_is_one_member_and_an_empty_one(monkeypatch):
     monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
     p = bytes(range(256)) * 20
-    one = warc.compress(warc.record(1, None, p, len(p), hashlib.sha1(p).hexdigest(), None))
+    record = warc.record(1, None, p, len(p), hashlib.sha1(p).hexdigest(), None)
+    one = warc.compress(record)
     two = archive(2)
-    assert one.count(b"\x1f\x8b\x08") >= 5 and one.endswith(b"\0")
+    first = zlib.decompressobj(31)
+    assert first.decompress(one) == record and first.eof and first.unused_data == warc.EMPTY and one.endswith(b"\0") and zlib.decompress(warc.EMPTY, 31) == b""
+    found = list(warc.salvage(two[0] + one + two[1]))
+    assert [f.reason for f in found] == [None] * 3 and found[1].block.endswith(p) and found[1].length == len(one)
+    assert [f.reason for f in warc.salvage(warc.EMPTY + two[0] + one[:-3])] == [None, None, "truncated member"]
+
+
+def several(data):
+    """Members of 1000 bytes each, as other writers may cut a record."""
+    return b"".join(warc.compress(data[k : k + 1000]) for k in range(0, len(data), 1000))
+
+
+def test_large_record_in_several_members():
+    p = bytes(range(256)) * 20
+    one, two = several(warc.record(1, None, p, len(p), hashlib.sha1(p).hexdigest(), None)), archive(2)
+    assert one.count(b"\x1f\x8b\x08") >= 5
     found = list(warc.salvage(two[0] + one + two[1]))
     assert [f.reason for f in found] == [None] * 3 and found[1].block.endswith(p)
 
 
-def test_members_of_many_records(monkeypatch):
+def test_members_of_many_records():
     def told(content):
         found = list(warc.salvage(content))
         assert sum(f.length for f in found) == len(content)
@@ -281,8 +345,8 @@ def test_members_of_many_records(monkeypatch):
     assert told(warc.compress(b"".join([*plain[:4], bad, *plain[5:]]))) == [0, 1, 2, 3, "gap", 5, 6, 7, 8]
     assert told(warc.compress(b"tail of another" + b"".join(plain[:2]) + plain[2][:-9]) + warc.compress(plain[3])) == ["gap", 0, 1, "gap", 3]
     # Records lie across the borders of members; a damaged member takes only the records that it has part of.
-    monkeypatch.setattr(warc, "MEMBER_BYTES", 700)
-    whole = warc.compress(b"".join(plain))
+    data = b"".join(plain)
+    whole = b"".join(warc.compress(data[k : k + 700]) for k in range(0, len(data), 700))
     assert told(whole) == list(range(9))
     second = whole.index(b"\x1f\x8b\x08", whole.index(b"\x1f\x8b\x08", 1) + 1)
     damaged = bytearray(whole)
@@ -291,6 +355,42 @@ def test_members_of_many_records(monkeypatch):
     assert got.count("gap") >= 1 and {0, 1, 6, 7, 8} <= set(got)
 
 
+def foreign(digest, payload=b"<p>x</p>", kind="response", identity="<urn:uuid:1b2c>", more=()):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    lines = ["WARC/1.0", *([f"WARC-Type: {kind}"] if kind else []), f"WARC-Record-ID: {identity}", *([f"WARC-Block-Digest: {digest(block)}"] if digest else []), *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    sha1 = lambda b: hashlib.sha1(b)
+    digests = {
+        "base32": lambda b: "sha1:" + base64.b32encode(sha1(b).digest()).decode(),
+        "lower base32": lambda b: "SHA1:" + base64.b32encode(sha1(b).digest()).decode().lower(),
+        "upper hex": lambda b: "sha1:" + sha1(b).hexdigest().upper(),
+        "sha256": lambda b: "sha-256:" + hashlib.sha256(b).hexdigest(),
+        "md5 base32": lambda b: "md5:" + base64.b32encode(hashlib.md5(b).digest()).decode().rstrip("="),
+        "unknown": lambda b: "blake9:00ff",
+        "unreadable": lambda b: "sha1:!",
+        "none": None,
+    }
+    for name, digest in digests.items():
+        assert [f.reason for f in warc.salvage(foreign(digest))] == [None], name
+    for name in ("base32", "upper hex", "sha256", "md5 base32"):
+        good = foreign(digests[name])
+        assert [f.reason for f in warc.salvage(good.replace(b"<p>x", b"<p>y"))] == ["block digest differs"], name
+    records = [
+        foreign(None, kind=None),
+        foreign(None, identity="<urn:lumendex:page:99999999999999999999>"),
+        foreign(None, kind="revisit", more=["WARC-Payload-Digest: sha1:" + base64.b32encode(sha1(b"z").digest()).decode()]),
+        foreign(None, kind="warcinfo"),
+    ]
+    path = common.fresh_path(spark, "w")
+    common.write_bytes(spark.createDataFrame([(b"".join(records) + b"\n",)], "record binary"), "record", path, "\n")
+    got = warc.read(spark, path).orderBy("offset").collect()
+    assert [(r.page_id, r.record_type, r.gap_reason) for r in got] == [(None, "unknown", None), (None, "response", None), (None, "revisit", None), (None, "warcinfo", None), (None, None, "no version line")]
+    assert got[0].payload_digest == sha1(b"<p>x</p>").hexdigest() and got[2].payload_digest == sha1(b"z").hexdigest() and got[2].payload_bytes is None
+
+
 def test_headers_of_any_length(spark, monkeypatch):
     urls = ["http://a/" + "x" * 70_000, "http://b/" + "\n" * 400_000, "http://c/" + "y" * (1 << 20)]
     records = [warc.record(i, u, b"p", 1, hashlib.sha1(b"p").hexdigest(), None) for i, u in enumerate(urls)]
