@@ -1,21 +1,25 @@
 """Benchmark decontamination by spaced-seed hashing (operator 6), DataFrame functions only.
 
-Texts and benchmark items become words (runs of letters and digits, in lower case) and these 64-bit hashes. A seed is the hash of the
+Texts and benchmark items become words (runs of letters and digits, in lower case; single characters in scripts that don't part words by spaces) and these
+64-bit hashes. A seed is the hash of the
 words at the places of one mask; masks ignore other places, so a substitution there doesn't matter. Seeds of texts and of
 items are joined, and around each hit the words are compared place by place: an item leaks into a text if in some ``WINDOW``
 aligned words (all words, for a shorter item) at most ``tolerance`` differ. With ``MASKS`` every such window has a
-hit, so none is missed: four substitutions in 16 words.
+hit, so none is missed: four substitutions in 16 words, none in fewer than 8. An item too short for a mask (fewer than
+``LEAST_WORDS`` words) leaks only into texts that are nothing but it; its seed is the hash of all words.
 
-Before anything is exploded, two bit sets of a fixed size (first pairs of words, then seeds) drop the
-places of a text that can't hit; bit sets let through too much at worst, so nothing is lost. The items' seeds are broadcast
-only up to ``MOST_BROADCAST`` of them, else joined by a shuffle.
+Before anything is exploded, two bit sets (first pairs of words, then seeds) drop the
+places of a text that can't hit. They grow with the items, ``BITS_A_SEED`` for each seed, up to 2**MOST_BITS bits, from which on they let
+through more; nothing is ever lost. The items' seeds are broadcast
+only up to ``MOST_BROADCAST`` of them (some 40 MB), else joined by a shuffle.
 
-Null texts have no words. Items of fewer than ``LEAST_WORDS`` words are too short to tell and never found. Repeated rows of a text give the
-same pair once. Rows with a null key are neither found nor dropped. Empty tables give no pairs.
+Null texts and texts without words are never found, nor are such items. Texts are read whole, however long. Repeated rows of a text give the
+same pair once. Rows with a null key are neither found nor dropped. Empty tables give no pairs. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cache, reduce
 from itertools import combinations
 
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 
 #: Places that each seed looks at; all begin with the same two.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 2, 3, 8), (0, 1, 6, 8, 9))
-WINDOW, MOST_WRONG, LEAST_WORDS = 16, 4, 8
-PAIR_BITS, SEED_BITS, MOST_BROADCAST = 16, 18, 500_000
+WINDOW, MOST_WRONG, LEAST_WORDS = 16, 4, 5
+BITS_A_SEED, MOST_BITS, MOST_BROADCAST = 16, 25, 100_000
+#: Scripts without spaces between words.
+SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai")
 _SPAN = 1 + max(o for m in MASKS for o in m)
 
 
@@ -41,13 +47,22 @@ def tolerance(words: int) -> int:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    unspaced = "[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]"
+    low = F.lower(text)
+    spaced = F.when(low.rlike(unspaced), F.regexp_replace(low, f"({unspaced})", " $1 ")).otherwise(low)
+    return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _seed(hashes: Column, at: Column, mask: tuple[int, ...], number: int) -> Column:
     return F.xxhash64(F.lit(number), *[F.get(hashes, at + o) for o in mask])
 
 
+def _whole(hashes: Column) -> Column:
+    """The seed of a text or item of fewer than LEAST_WORDS words, of all of them."""
+    seed = F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit(-1), hashes).alias("seed"))
+    return F.when(F.size(hashes).between(1, LEAST_WORDS - 1), F.array(seed)).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
+
+
 def _pair(hashes: Column, at: Column) -> Column:
     return F.get(hashes, at).bitwiseXOR(F.shiftleft(F.get(hashes, at + 1), 1))
 
@@ -62,19 +77,6 @@ def _around(hashes: Column, at: Column) -> Column:
     return F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW + _SPAN - 2)), lambda d: F.get(hashes, at + d))
 
 
-def _bit_set(values: DataFrame, bits: int) -> Column:
-    """A constant array of 2**bits bits, in which each ``v`` (bigint) has its own set. At most 2**(bits - 6) rows reach the driver."""
-    cell = F.shiftrightunsigned("v", 64 - bits)
-    rows = values.select(F.shiftright(cell, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int")).alias("b"))
-    found = {r.w: r.b for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}
-    return F.from_json(F.lit("[" + ",".join(str(found.get(k, 0)) for k in range(1 << (bits - 6))) + "]"), "array<bigint>")
-
-
-def _has(bit_set: Column, value: Column, bits: int) -> Column:
-    cell = F.shiftrightunsigned(value, 64 - bits)
-    return F.getbit(F.get(bit_set, F.shiftright(cell, 6).cast("int")), (cell % 64).cast("int")) == 1
-
-
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed once a row: a generator keeps the optimizer from copying it into lambdas that use it."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -88,29 +90,57 @@ def _hashed(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
 def item_seeds(items: DataFrame, key: str, text: str) -> DataFrame:
     """``item``, ``seed``, ``pair``, ``theirs`` (the words around), ``window``, ``least`` of all places and masks of all items."""
     hashed = _hashed(items, key, text, "item")
-    long_enough = hashed.where(F.size("h") >= LEAST_WORDS).withColumn("n", F.size("h")).withColumn("window", F.least("n", F.lit(WINDOW)))
-    least = reduce(lambda out, n: F.when(F.col("window") == n, n - tolerance(n)).otherwise(out), range(LEAST_WORDS, WINDOW + 1), F.lit(None).cast("int"))
+    sized = hashed.where(F.size("h") > 0).withColumn("n", F.size("h")).withColumn("window", F.least("n", F.lit(WINDOW)))
+    least = reduce(lambda out, n: F.when(F.col("window") == n, n - tolerance(n)).otherwise(out), range(LEAST_WORDS, WINDOW + 1), F.col("window"))
 
     def places(mask: tuple[int, ...], number: int) -> Column:
         return F.transform(_starts(F.col("n"), mask[-1] + 1), lambda i: F.struct(i.alias("at"), _seed(F.col("h"), i, mask, number).alias("seed")))
 
-    seeds = long_enough.select("item", "h", "window", least.alias("least"), F.explode(F.concat(*[places(m, k) for k, m in enumerate(MASKS)])).alias("s"))
+    seeds = sized.select("item", "h", "window", least.alias("least"), F.explode(F.concat(_whole(F.col("h")), *[places(m, k) for k, m in enumerate(MASKS)])).alias("s"))
     return seeds.select("item", F.col("s.seed").alias("seed"), _pair(F.col("h"), F.col("s.at")).alias("pair"), _around(F.col("h"), F.col("s.at")).alias("theirs"), "window", "least")
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``key``, ``item_key``, ``first_word`` (place in the text of the first hit), ``matched`` (most equal words in a window): one row a pair."""
-    seeds = item_seeds(items, item_key, item_text)
-    pairs = _bit_set(seeds.select(F.xxhash64("pair").alias("v")), PAIR_BITS)
-    marks = _bit_set(seeds.select(F.col("seed").alias("v")), SEED_BITS)
-    hashed = _hashed(docs, key, text, "doc")
+@dataclass
+class BitSet:
+    words: Column
+    bits: int
+
+    @classmethod
+    def of(cls, values: DataFrame, count: int) -> BitSet:
+        """A constant array of bits, in which each of ``count`` rows' ``v`` (bigint) has its own set. One word for each 64 bits at most reaches the driver."""
+        bits = min(max(12, (BITS_A_SEED * max(count, 1) - 1).bit_length()), MOST_BITS)
+        cell = F.shiftrightunsigned("v", 64 - bits)
+        rows = values.select(F.shiftright(cell, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int")).alias("b"))
+        found = {r.w: r.b for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}
+        return cls(F.from_json(F.lit("[" + ",".join(str(found.get(k, 0)) for k in range(1 << (bits - 6))) + "]"), "array<bigint>"), bits)
+
+    def has(self, value: Column) -> Column:
+        cell = F.shiftrightunsigned(value, 64 - self.bits)
+        return F.getbit(F.get(self.words, F.shiftright(cell, 6).cast("int")), (cell % 64).cast("int")) == 1
+
+
+def bit_sets(seeds: DataFrame, count: int) -> tuple[BitSet, BitSet]:
+    """Those of the first pairs of words, and of the seeds."""
+    return BitSet.of(seeds.select(F.xxhash64("pair").alias("v")), -(-count // len(MASKS))), BitSet.of(seeds.select(F.col("seed").alias("v")), count)
+
+
+def passing(hashed: DataFrame, pairs: BitSet, marks: BitSet) -> DataFrame:
+    """``doc``, ``h``, ``s`` (array of ``at`` and ``seed``): the seeds of texts that the bit sets let through."""
     h = F.col("h")
     # A place counts for masks that reach beyond the end too: a hash with missing words is no seed of an item, or fails the comparison.
-    begun = _once(hashed, "at", F.filter(_starts(F.size("h"), MASKS[0][-1] + 1), lambda i: _has(pairs, F.xxhash64(_pair(h, i)), PAIR_BITS)))
+    begun = _once(hashed, "at", F.filter(_starts(F.size("h"), MASKS[0][-1] + 1), lambda i: pairs.has(F.xxhash64(_pair(h, i)))))
     made = F.flatten(F.transform("at", lambda i: F.array(*[F.struct(i.alias("at"), _seed(h, i, m, k).alias("seed")) for k, m in enumerate(MASKS)])))
-    kept = _once(_once(begun, "made", made), "kept", F.filter("made", lambda s: _has(marks, s["seed"], SEED_BITS))).select("doc", "h", F.col("kept").alias("s"))
-    hits = kept.select("doc", "h", F.explode("s").alias("s")).select("doc", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"), _around(h, F.col("s.at")).alias("ours"))
-    if seeds.count() <= MOST_BROADCAST:
+    return _once(_once(begun, "made", F.concat(_whole(h), made)), "kept", F.filter("made", lambda s: marks.has(s["seed"]))).select("doc", "h", F.col("kept").alias("s"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``key``, ``item_key``, ``first_word`` (place in the text of the first hit), ``matched`` (most equal words in a window): one row a pair."""
+    seeds = item_seeds(items, item_key, item_text)
+    count = seeds.count()
+    pairs, marks = bit_sets(seeds, count)
+    kept = passing(_hashed(docs, key, text, "doc"), pairs, marks)
+    hits = kept.select("doc", "h", F.explode("s").alias("s")).select("doc", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"), _around(F.col("h"), F.col("s.at")).alias("ours"))
+    if count <= MOST_BROADCAST:
         seeds = F.broadcast(seeds)
     met = hits.join(seeds, "seed")
     same = F.zip_with("ours", "theirs", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))

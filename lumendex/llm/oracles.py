@@ -23,19 +23,22 @@ SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, (1 + coalesce(
 
 EXACT_TOPK = """
 WITH v AS (
-  SELECT vec_id, [floor(256.0::DOUBLE * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  SELECT row_number() OVER () AS place, vec_id, [floor(256.0::DOUBLE * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  SELECT q.place, q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
   FROM v q JOIN v ON len(q.e) = len(v.e) AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
 
 _LEAST = " ".join(f"WHEN {n} THEN {n - decontaminate.tolerance(n)}" for n in range(decontaminate.LEAST_WORDS, decontaminate.WINDOW + 1))
 
+_SCRIPTS = "".join(rf"\p{{{s}}}" for s in decontaminate.SCRIPTS)
+_SPACED = rf"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([{_SCRIPTS}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+
 DECONTAMINATION = f"""
-WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT DISTINCT doc_id, {_SPACED} AS w FROM documents WHERE doc_id IS NOT NULL),
 dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {_SPACED} AS w FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (
   SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS j, least(len(w), {decontaminate.WINDOW}) AS win FROM b WHERE len(w) >= {decontaminate.LEAST_WORDS}),
 m AS (SELECT DISTINCT doc_id, item_id, i - j AS diagonal, j, win FROM dw JOIN bw USING (word)),
@@ -43,7 +46,8 @@ lines AS (SELECT doc_id, item_id, diagonal FROM m GROUP BY ALL HAVING count(*) >
 c AS (
   SELECT doc_id, item_id, win, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j RANGE BETWEEN CURRENT ROW AND win - 1 FOLLOWING) AS c
   FROM m JOIN lines USING (doc_id, item_id, diagonal))
-SELECT doc_id, item_id, CAST(max(c) AS INTEGER) AS matched FROM c GROUP BY doc_id, item_id HAVING max(c) >= CASE min(win) {_LEAST} END"""
+SELECT doc_id, item_id, CAST(max(c) AS INTEGER) AS matched FROM c GROUP BY doc_id, item_id HAVING max(c) >= CASE min(win) {_LEAST} END
+UNION ALL SELECT DISTINCT doc_id, item_id, CAST(len(b.w) AS INTEGER) FROM d JOIN b ON d.w = b.w WHERE len(b.w) BETWEEN 1 AND {decontaminate.LEAST_WORDS - 1}"""
 
 
 
