@@ -4,13 +4,14 @@ Features are the distinct words of a text and the beginnings of its longer words
 The features that tell the classes apart in a bounded sample of labelled rows (``SAMPLE`` of each class at most, chosen by
 hash of the key, so any labelled row may be in it) go into a logistic regression. In its loss, labelled
 texts that name a group of people are paired with the same text naming another group; the squared change of
-the logit is penalised, so that the mention of a group doesn't raise the score by itself.
-
-What leaves the executors for training is bounded: at most FEATURES features, and for each sampled row those it has.
-Scoring reads whole texts, row by row, with the weights broadcast. Labels, language, source and key never enter a
-score. Null texts count as empty; an empty text's score is the model's prior. A key with several labels is toxic if any is;
-null labels are none. Without labels, or
-labelled texts, of both classes the score is the share of toxic labels (0 without labels).
+the logit is penalised, so that the mention of a group doesn't raise the score by itself. Where no labelled text names a group of
+``IDENTITIES`` there are no pairs and the penalty is 0.
+
+What leaves the executors for training is bounded: at most FEATURES features, and for each of at most 2 * SAMPLE texts those it has.
+Scoring reads whole texts, however long, row by row, with the weights broadcast. Labels, language, source and key never enter a
+score; other columns, whatever their names, aren't read. Null texts count as empty; an empty text's score is the model's prior. A key with several labels is
+toxic if any is; null labels are none. Of several texts of a labelled key one is learned from (that of the least hash); repeated rows get the same score each. Without
+labels, or labelled texts, of both classes the score is the share of toxic labels (0 without labels). Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from . import common, scan, shingles
 
 #: Rows of each class in the sample, features of the model, word beginnings in characters, rows and strength that a feature needs.
-SAMPLE, FEATURES, PREFIXES, LEAST_ROWS, LEAST_Z = 6000, 4096, (4, 5), 4, 4.0
-#: Weights of the counterfactual penalty and of the squared weights, steps of training.
-PENALTY, RIDGE, STEPS = 1.0, 1e-4, 400
+SAMPLE, FEATURES, PREFIXES, LEAST_ROWS, LEAST_Z = 6000, 4096, (3, 4, 5, 6, 8), 2, 3.0
+#: Weights of the counterfactual penalty and of the squared weights, steps of training. Chosen, as the above, by cross-validation within training rows.
+PENALTY, RIDGE, STEPS = 1.0, 1e-3, 400
 CHUNK = 500_000
 
 #: Terms for groups of people; a term is swapped for the next of its row.
@@ -42,6 +43,7 @@ IDENTITIES = (
 _SWAP = {w: row[(k + 1) % len(row)] for row in IDENTITIES for k, w in enumerate(row)}
 _WORD = re.compile(r"\w+")
 
+
 def _hashes(joined: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and word beginnings, and the code point where each word starts."""
     points = scan.code_points(joined)
@@ -160,18 +162,25 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[i
     return w, float(b)
 
 
+def sample_texts(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """``t``, ``y`` of a sample of the labelled keys (``k``, ``y``): one text a key, at most SAMPLE of each class."""
+    sample = None
+    for y in (0, 1):
+        some = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+        sample = some if sample is None else sample.unionByName(some)
+    # At most 2 * SAMPLE keys are broadcast.
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
+    one = found.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
+    return common.durable(one.select("t", "y"), "sample")
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from ``labels`` (key, label), whose rows may hold any label; those given are used."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(bias=np.inf if totals.get(1) else -np.inf)
-    sample = None
-    for y in (0, 1):
-        some = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-        sample = some if sample is None else sample.unionByName(some)
-    # At most 2 * SAMPLE keys are broadcast.
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("t", "y")
+    texts = sample_texts(docs, known, key, text)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -215,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 names=["y", "own", "other"],
             )
 
-    got = texts.mapInArrow(present, "y int, own array<int>, other array<int>").collect()  # at most FEATURES numbers for each sampled row
+    got = texts.mapInArrow(present, "y int, own array<int>, other array<int>").collect()  # at most 2 * SAMPLE rows of at most FEATURES numbers each
     got.sort(key=lambda r: (r.y, r.own, r.other or []))  # the order of arrival must not matter
     pairs = [(k, list(r.other)) for k, r in enumerate(got) if r.other is not None]
     own = [list(r.own) for r in got]

@@ -208,6 +208,47 @@ def test_counterfactual_penalty_lowers_the_weight_of_groups(spark, monkeypatch):
     assert toxicity.swapped("Women and muslims") == "men and christians" and toxicity.swapped("nobody") is None
 
 
+def test_penalty_spares_neutral_mentions(spark, monkeypatch):
+    r = random.Random(12)
+    insults = [f"{a}{b}" for a in ("vile", "scum", "rotten", "loath", "dirt") for b in ("", "bag", "head", "face", "some", "ling")]
+    groups = ["muslims", "women", "immigrants", "jews"]
+    rows = []
+    for k in range(1600):
+        w, toxic = words(r, r.randint(8, 25)), k % 4 == 0
+        if toxic:
+            w[r.randrange(len(w))] = r.choice(insults)
+        if r.random() < (0.8 if toxic else 0.03):
+            w[r.randrange(len(w))] = r.choice(groups)
+        rows.append((k, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    neutral = [" ".join([*words(r, 12), g, *words(r, 5)]) for g in groups for _ in range(50)]
+    toxic = [" ".join([*words(r, 12), i, *words(r, 5)]) for i in insults for _ in range(3)]
+    wrong, found = [], []
+    for penalty in (0.0, toxicity.PENALTY):
+        monkeypatch.setattr(toxicity.fit, "__defaults__", (penalty,))
+        model = toxicity.train(docs, labels)
+        wrong.append(np.mean(model.logits(neutral) >= 0))
+        found.append(np.mean(model.logits(toxic) >= 0))
+    assert wrong[0] > 0.2 and wrong[1] < wrong[0] / 4 and wrong[1] < 0.05 and found[1] > 0.9
+
+
+def test_repeated_keys_are_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k % 7}") for k in range(500)] + [(0, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (9, 0)], "k long, y int")
+    assert toxicity.sample_texts(docs.repartition(5), known, "doc_id", "text").count() == 3
+    labels = known.select(F.col("k").alias("doc_id"), F.col("y").alias("toxic"))
+    assert toxicity.judge(docs, labels).count() == 501
+
+
+def test_op4_recall_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in common.table(spark, sf_dir, "labels").collect()}
+    held = [(r.predicted, labels[r.doc_id]) for r in contract.op4_toxicity(spark, sf_dir).where("held_out").collect() if labels.get(r.doc_id) is not None]
+    found = [p for p, y in held if y]
+    assert np.mean(found) >= 0.9 and np.mean([p for p, y in held if not y]) <= 0.01, (sum(found), len(found), sum(p for p, y in held if not y), len(held))
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "word " * 1000), (3, "word " * 1000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -231,9 +272,9 @@ def test_best_border():
 def test_features_of_long_texts(monkeypatch):
     texts = ["alpha beta gamma " * 20, None, "Delta", "alpha " * 50]
     every = [(r, h) for rows, hashes in toxicity.features(texts) for r, h in zip(rows.tolist(), hashes.tolist(), strict=True)]
-    # Three words, and of each two beginnings, but gamma and delta have only one, as have alpha's five letters.
+    # Words, and their beginnings of 3 and 4 letters (beta has only one).
     assert len(every) == len(set(every))
-    assert collections.Counter(r for r, _ in every) == {0: 3 + 2 + 0, 2: 1 + 1, 3: 1 + 1}
+    assert collections.Counter(r for r, _ in every) == {0: 3 + 2 + 1 + 2, 2: 1 + 2, 3: 1 + 2}
     monkeypatch.setattr(toxicity, "CHUNK", 10)
     again = [(r, h) for rows, hashes in toxicity.features(texts) for r, h in zip(rows.tolist(), hashes.tolist(), strict=True)]
     assert sorted(again) == sorted(every)
@@ -248,13 +289,19 @@ def test_op4_over_the_table(spark, sf_dir):
 # -- operator 6 ----------------------------------------------------------------------------
 
 
+def spaced(text):
+    return tok(re.sub("([一-鿿぀-ヿก-๛])", r" \1 ", text or ""))
+
+
 def leaks_by_hand(docs, items):
     out = {}
-    held = {i: tok(t) for i, t in items if i is not None}
+    held = {i: spaced(t) for i, t in items if i is not None}
     for k, text in docs:
-        w = tok(text)
+        w = spaced(text)
         for i, b in held.items():
             if k is None or len(b) < decontaminate.LEAST_WORDS:
+                if k is not None and b and w == b:
+                    out[k, i] = len(b)
                 continue
             size = min(len(b), decontaminate.WINDOW)
             least = size - decontaminate.tolerance(size)
@@ -292,6 +339,29 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(left, right.limit(0)).collect() == [] and decontaminate.leaks(left.limit(0), right).collect() == []
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "What is the capital of France?"), (2, "Yes, of course"), (3, "one"), (4, "法国的首都是哪一座城市呢"), (5, "あなたの名前は何ですか"), (6, "法国"), (7, "!?"), (8, "a b c d e")]
+    docs = [(1, "Q: what is THE capital of france -- Paris"), (2, "what is the capital of spain"), (3, "yes of course!"), (4, "yes of course not"), (5, "One"), (6, "one two"), (7, "请问，法国的首都是哪一座城市呢？巴黎"),
+            (8, "法国 的首都是哪一做城市呢"), (9, "法国"), (10, "法国人"), (11, "x あなたの名前は何ですか y"), (12, "!?"), (13, ""), (14, None), (15, "a b c d"), (16, "z a b c d e"), (3, "yes of course!")]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks_by_hand(docs, items)
+    assert {(x.doc_id, x.item_id): x.matched for x in decontaminate.leaks(left, right).collect()} == want
+    assert set(want) == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 4), (9, 6), (11, 5), (16, 8)}
+
+
+def test_bit_sets_grow_with_the_items(spark):
+    r = random.Random(9)
+    some = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+    items = spark.createDataFrame([(i, some(30)) for i in range(20_000)], "item_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(i, some(500)) for i in range(40)], "doc_id long, text string")
+    seeds = decontaminate.item_seeds(items, "item_id", "text")
+    count = seeds.count()
+    pairs, marks = decontaminate.bit_sets(seeds, count)
+    assert count == 20_000 * (26 + 25 + 22 + 21) and (marks.bits, pairs.bits) == (25, 23)
+    through = decontaminate.passing(decontaminate._hashed(docs, "doc_id", "text", "doc"), pairs, marks).agg(F.sum(F.size("s"))).first()[0]
+    assert through < 0.01 * 4 * 40 * 500
+
+
 def test_leaks_by_a_shuffle(spark, monkeypatch):
     docs = [(1, "one two three four five six seven eight nine"), (2, "something else")]
     items = [(9, "zero one two three four five six seven eight")]
