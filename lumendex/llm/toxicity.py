@@ -10,7 +10,7 @@ the logit is penalised, so that the mention of a group doesn't raise the score b
 What leaves the executors for training is bounded: at most FEATURES features, and for each of at most 2 * SAMPLE texts those it has.
 Scoring reads whole texts, however long, row by row, with the weights broadcast. Labels, language, source and key never enter a
 score; other columns, whatever their names, aren't read. Null texts count as empty; an empty text's score is the model's prior. A key with several labels is
-toxic if any is; null labels are none. Of several texts of a labelled key one is learned from (that of the least hash); repeated rows get the same score each. Without
+toxic if any is; null labels are none. Features are chosen by all texts of a sampled key, and one of them is learned from (that of the least hash); repeated rows get the same score each. Without
 labels, or labelled texts, of both classes the score is the share of toxic labels (0 without labels). Empty tables give no rows.
 """
 
@@ -163,15 +163,13 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[int, list[i
 
 
 def sample_texts(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
-    """``t``, ``y`` of a sample of the labelled keys (``k``, ``y``): one text a key, at most SAMPLE of each class."""
+    """``k``, ``t``, ``y`` of all rows of a sample of the labelled keys (``k``, ``y``): at most SAMPLE keys of each class."""
     sample = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
         sample = some if sample is None else sample.unionByName(some)
     # At most 2 * SAMPLE keys are broadcast.
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
-    one = found.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
-    return common.durable(one.select("t", "y"), "sample")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -195,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return Model(bias=float(np.log(totals[1] / totals[0])))
-    summed = texts.mapInArrow(tally, "h bigint, n bigint, p bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    summed = texts.select("t", "y").mapInArrow(tally, "h bigint, n bigint, p bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     share = pos / max(pos + neg, 1)
 
     def surprise(seen: Column, expected: Column) -> Column:
@@ -220,11 +218,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             other = [swapped(t) for t in some]
             own, changed = lists(some), lists(other)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array([None if o is None else c for o, c in zip(other, changed, strict=True)], pa.list_(pa.int32()))],
-                names=["y", "own", "other"],
+                [*batch.columns[1:], pa.array(own, pa.list_(pa.int32())), pa.array([None if o is None else c for o, c in zip(other, changed, strict=True)], pa.list_(pa.int32()))],
+                names=["k", "h", "y", "own", "other"],
             )
 
-    got = texts.mapInArrow(present, "y int, own array<int>, other array<int>").collect()  # at most 2 * SAMPLE rows of at most FEATURES numbers each
+    kind = texts.schema["k"].dataType.simpleString()
+    rows = texts.select("t", "k", F.xxhash64("t").alias("h"), "y").mapInArrow(present, f"k {kind}, h bigint, y int, own array<int>, other array<int>")
+    one = rows.groupBy("k").agg(F.min(F.struct("h", "y", "own", "other")).alias("r")).select("r.*")
+    got = one.collect()  # at most 2 * SAMPLE rows of at most FEATURES numbers each
     got.sort(key=lambda r: (r.y, r.own, r.other or []))  # the order of arrival must not matter
     pairs = [(k, list(r.other)) for k, r in enumerate(got) if r.other is not None]
     own = [list(r.own) for r in got]
@@ -232,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     w, _ = fit(own, y, pairs, len(hashes))
     sums = np.array([w[x].sum() for x in own])
     # Classes weigh the same in training; the border is set for their true shares.
-    return Model(hashes, w, -best_border(sums, y, np.where(y == 1, totals[1] / pos, totals[0] / neg)))
+    return Model(hashes, w, -best_border(sums, y, np.where(y == 1, totals[1] / max(y.sum(), 1), totals[0] / max((1 - y).sum(), 1))))
 
 
 def best_border(sums: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:

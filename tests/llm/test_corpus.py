@@ -233,11 +233,13 @@ def test_penalty_spares_neutral_mentions(spark, monkeypatch):
     assert wrong[0] > 0.2 and wrong[1] < wrong[0] / 4 and wrong[1] < 0.05 and found[1] > 0.9
 
 
-def test_repeated_keys_are_one_row_of_the_sample(spark):
+def test_repeated_keys_are_one_row_of_the_sample(spark, monkeypatch):
     docs = spark.createDataFrame([(k % 3, f"text {k % 7}") for k in range(500)] + [(0, None)], "doc_id long, text string")
-    known = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (9, 0)], "k long, y int")
-    assert toxicity.sample_texts(docs.repartition(5), known, "doc_id", "text").count() == 3
-    labels = known.select(F.col("k").alias("doc_id"), F.col("y").alias("toxic"))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (9, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y, pairs, width: (seen.append(len(rows)), (np.zeros(width), 0.0))[1])
+    toxicity.train(docs.repartition(5), labels)
+    assert seen == [3]
     assert toxicity.judge(docs, labels).count() == 501
 
 
