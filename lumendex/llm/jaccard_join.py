@@ -4,18 +4,23 @@
 2. MinHash: ``bands`` hashes of ``rows`` minima each, chosen so that a pair at the threshold meets in a band with the
    target probability. A shuffle on band hashes gives each bucket its smallest member; (member, smallest) are edges whose
    components hold every pair that shares a bucket.
-3. Inside a component all pairs are verified on full shingle sets: members are dealt into blocks of a bounded size by set size (sets that
-   differ by more than the threshold allows never meet) and hash, and pairs of blocks are tiles: a product of 0/1 matrices gives
-   all intersections of a tile. Tiles report, for each text, its number of links and the smallest text it is connected to;
-   pairs are never put out. Small components are one block and verified where they are gathered.
+3. Pairs are verified on full shingle sets, and put out never: a block of texts reports, for each of them, its number of links and the
+   smallest text it is connected to. Intersections of a block are products of 0/1 matrices. Each pair is verified in one place:
+   - a component that fits one block is verified where it is gathered, as a whole;
+   - in a larger component, which may hang together by chance, a bucket of up to ``LIGHT`` texts is a block of its own (once, where several have the same members)
+     and counts the pairs that share no band before its own;
+   - larger buckets make components of their own. Their members are dealt into blocks of a bounded size by set size (sets that
+     differ by more than the threshold allows never meet) and hash, and pairs of blocks are tiles, spread over tasks. They count the pairs whose first
+     shared band is such a bucket, or that share none.
 4. Components of the verified links are the classes.
 
 So a class is a connected component of "similarity at least the threshold", and ``n_links`` counts the other documents at or above the
-threshold, copies included. A hot group of n different near copies costs n * n / BLOCK_TEXTS rows of tiles, spread over tasks.
+threshold, copies included. A hot group of n different near copies costs n * n / BLOCK_TEXTS rows of tiles; a chain of
+chance meetings costs what its buckets hold.
 
 Null and empty texts are sets of their own kind (see ``shingles``), so they are copies of each other. Rows with a
 null key take no part. To ``join`` rows of one key are one document, and results have one row for each distinct key; ``keep_one`` tells
-texts of one key apart.
+texts of one key apart. Texts are read whole, however long. Empty tables give no rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -28,14 +33,14 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components, shingles
 
 SIZE, THRESHOLD, RECALL, MOST_HASHES = 5, Fraction(4, 5), 0.99999, 160
-#: What a block of texts holds at most, about; columns of a matrix at a time.
-BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 256, 250_000, 4096
+#: What a block of texts holds at most, about; texts of a bucket that is a block of its own; columns of a matrix at a time.
+BLOCK_TEXTS, BLOCK_SHINGLES, LIGHT, COLUMNS = 256, 250_000, 64, 4096
 
 
 def banding(threshold: float, recall: float, most: int) -> tuple[int, int]:
@@ -87,24 +92,29 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: Bands) ->
 
 
 class Block:
-    """Texts with their shingle sets: rep (long), copies, and the sets joined."""
+    """Texts with their shingle sets: rep (long), copies, and the sets joined; their band hashes (a row each) and, as bits, which of these are of large
+    buckets (none of either where all pairs count)."""
 
-    def __init__(self, reps: np.ndarray, copies: np.ndarray, sizes: np.ndarray, items: np.ndarray):
-        self.reps, self.copies, self.sizes, self.items = reps, copies, sizes, items
+    def __init__(self, reps: np.ndarray, copies: np.ndarray, sizes: np.ndarray, items: np.ndarray, bands: np.ndarray, heavy: np.ndarray):
+        self.reps, self.copies, self.sizes, self.items, self.bands, self.heavy = reps, copies, sizes, items, bands, heavy
 
     def packed(self) -> bytes:
         values, place = np.unique(self.items, return_inverse=True)
-        parts = [np.array([len(self.reps), len(values)], "<i8"), self.reps.astype("<i8"), self.copies.astype("<i8"), self.sizes.astype("<i8"), values.astype("<u8"), place.astype("<u4")]
+        head = np.array([len(self.reps), len(values), self.bands.shape[1]])
+        longs = [head, self.reps, self.copies, self.sizes, self.heavy, self.bands.ravel()]
+        parts = [*(x.astype("<i8") for x in longs), values.astype("<u8"), place.astype("<u4")]
         return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
 
     @classmethod
     def unpacked(cls, data: bytes) -> Block:
         raw = zstandard.ZstdDecompressor().decompress(data)
-        n, m = np.frombuffer(raw, "<i8", 2).tolist()
-        reps, copies, sizes = np.frombuffer(raw, "<i8", 3 * n, 16).reshape(3, n)
-        at = 16 + 24 * n
+        n, m, bands = np.frombuffer(raw, "<i8", 3).tolist()
+        reps, copies, sizes, heavy = np.frombuffer(raw, "<i8", 4 * n, 24).reshape(4, n)
+        at = 24 + 32 * n
+        hashes = np.frombuffer(raw, "<i8", n * bands, at).reshape(n, bands)
+        at += 8 * n * bands
         values = np.frombuffer(raw, "<u8", m, at)
-        return cls(reps, copies, sizes, values[np.frombuffer(raw, "<u4", -1, at + 8 * m)])
+        return cls(reps, copies, sizes, values[np.frombuffer(raw, "<u4", -1, at + 8 * m)], hashes, heavy)
 
 
 def intersections(a: Block, b: Block) -> np.ndarray:
@@ -134,10 +144,22 @@ def intersections(a: Block, b: Block) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def verify(a: Block, b: Block, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rep, weight of links, smallest connected rep, for the texts of a tile that have a link there."""
+def counted(a: Block, b: Block, band: int | None) -> np.ndarray:
+    """Pairs whose first shared band is ``band``; without one those whose first shared band is a large bucket's, or that share none."""
+    first = np.full((len(a.reps), len(b.reps)), -1, np.int8)
+    for k in range(a.bands.shape[1] - 1, -1, -1):
+        first[a.bands[:, k, None] == b.bands[None, :, k]] = k
+    if band is not None:
+        return first == band
+    return (first < 0) | ((a.heavy[:, None] >> np.maximum(first, 0)) & 1 == 1)
+
+
+def verify(a: Block, b: Block, threshold: Fraction, every: bool = True, band: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rep, weight of links, smallest connected rep, for the texts of a tile that have a link there. every: all pairs count, else see ``counted``."""
     p, q = threshold.numerator, threshold.denominator
     linked = intersections(a, b) * (p + q) >= p * (a.sizes[:, None] + b.sizes[None, :])
+    if not every:
+        linked &= counted(a, b, band)
     if a is b:
         np.fill_diagonal(linked, False)
         reps, links, square = a.reps, linked @ a.copies, linked
@@ -167,26 +189,28 @@ _FOUND = "rep bigint, links bigint, root bigint, comp bigint, cls int, block int
 
 
 def _gather(rows: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Rows (comp, cls, block, alone, rep, copies, s, t), those of a block together: blocks that are alone are verified, others packed."""
+    """Rows of a deal (see ``deal``) with their texts, those of a block together: blocks that are alone are verified, others packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
 
         def block() -> pa.RecordBatch:
-            (comp, cls, number, alone), seen = at, {}
+            (_, comp, cls, number, alone, band), seen = at, {}
             sets = shingles.sets([t for *_, t in held], size)
-            for (rep, copies, digest, _), items in zip(held, sets, strict=True):
+            for (rep, copies, digest, hashes, heavy, _), items in zip(held, sets, strict=True):
                 if hashlib.blake2b(items.tobytes(), digest_size=16).digest() == digest:  # else another text of the same key
-                    seen.setdefault((rep, digest), (copies, items))
+                    seen.setdefault((rep, digest), (copies, items, hashes or [], heavy or 0))
             own = Block(
                 np.array([r for r, _ in seen], np.int64),
-                np.array([c for c, _ in seen.values()], np.int64),
-                np.array([len(i) for _, i in seen.values()], np.int64),
-                np.concatenate([i for _, i in seen.values()]),
+                np.array([c for c, *_ in seen.values()], np.int64),
+                np.array([len(i) for _, i, *_ in seen.values()], np.int64),
+                np.concatenate([i for _, i, *_ in seen.values()]),
+                np.array([h for *_, h, _ in seen.values()], np.int64).reshape(len(seen), -1),
+                np.array([x for *_, x in seen.values()], np.int64),
             )
             if alone:
-                return _found(*verify(own, own, threshold))
+                return _found(*verify(own, own, threshold, at[0] == WHOLE, band))
             none = [pa.nulls(1, pa.int64())] * 3
             return pa.RecordBatch.from_arrays(
                 [*none, pa.array([comp], pa.int64()), pa.array([cls], pa.int32()), pa.array([number], pa.int32()), pa.array([own.packed()], pa.binary())],
@@ -194,16 +218,16 @@ def _gather(rows: DataFrame, size: int, threshold: Fraction) -> DataFrame:
             )
 
         for batch in common.slices(batches):
-            for comp, cls, number, alone, rep, copies, digest, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (comp, cls, number, alone) != at:
+            for *place, rep, copies, digest, hashes, heavy, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != at:
                     if held:
                         yield block()
-                    held, at = [], (comp, cls, number, alone)
-                held.append((rep, copies, digest, t))
+                    held, at = [], place
+                held.append((rep, copies, digest, hashes, heavy, t))
         if held:
             yield block()
 
-    return rows.select("comp", "cls", "block", "alone", "rep", "copies", "s", "t").mapInArrow(run, _FOUND)
+    return rows.select("kind", "comp", "cls", "block", "alone", "band", "rep", "copies", "s", "b", "heavy", "t").mapInArrow(run, _FOUND)
 
 
 def _tiles(blocks: DataFrame, parts: DataFrame, threshold: Fraction) -> DataFrame:
@@ -224,45 +248,73 @@ def _tiles(blocks: DataFrame, parts: DataFrame, threshold: Fraction) -> DataFram
             for mine, other in zip(batch.column(0), batch.column(1), strict=True):
                 a = Block.unpacked(mine.as_py())
                 b = Block.unpacked(other.as_py()) if other.is_valid else a
-                yield _found(*verify(a, b, threshold))
+                yield _found(*verify(a, b, threshold, every=False))
 
     return pairs.mapInArrow(run, _FOUND)
 
 
 # -- the join ------------------------------------------------------------------------------
 
+#: Kinds of blocks: a component, a bucket, a part of a component of large buckets.
+WHOLE, BUCKET, PART = range(3)
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``key``, ``class_id`` (smallest key of its class), ``n_links``, ``copies`` (documents with the same shingle set) of every key."""
-    bands = Bands(*banding(float(threshold), recall, MOST_HASHES))
-    rows = common.durable(signatures(docs, key, text, size, bands), "signatures")
-    texts = rows.groupBy("s").agg(F.min("k").alias("rep"), F.countDistinct("k").alias("copies"))
-    texts = common.durable(texts, "texts")
 
-    # One row for each text and band; buckets of one text are gone after the first aggregation.
-    firsts = rows.join(texts, (rows["s"] == texts["s"]) & (rows["k"] == texts["rep"])).select("rep", F.explode("b").alias("h")).distinct()
-    firsts = common.durable(firsts, "bands")
-    hubs = firsts.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
-    edges = firsts.join(hubs, "h").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    near = components.components(edges).select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+def _fits(total: str = "total", count: str = "count") -> Column:
+    return (F.col(total) <= BLOCK_SHINGLES) & (F.col(count) <= BLOCK_TEXTS)
+
 
-    # Deal each component into blocks.
-    sizes = rows.join(texts, (rows["s"] == texts["s"]) & (rows["k"] == texts["rep"])).select("rep", texts["s"], "copies", "n").distinct()
-    members = sizes.join(near, "rep").withColumn("cls", F.floor(F.log("n") / math.log(float(1 / threshold)) + 1e-9).cast("int"))
-    members = common.durable(members, "members")
-    fits = (F.col("total") <= BLOCK_SHINGLES) & (F.col("count") <= BLOCK_TEXTS)
-    whole = members.groupBy("comp").agg(F.sum("n").alias("total"), F.count("*").alias("count")).select("comp", fits.alias("alone"))
-    parts = members.groupBy("comp", "cls").agg(F.sum("n").alias("total"), F.count("*").alias("count"))
-    parts = parts.select("comp", "cls", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("count") / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    dealt = members.join(whole, "comp").join(parts, ["comp", "cls"]).select(
-        "comp",
-        F.when(F.col("alone"), 0).otherwise(F.col("cls")).alias("cls"),
-        F.when(F.col("alone"), 0).otherwise(F.pmod(F.xxhash64("rep", "s"), F.col("blocks"))).cast("int").alias("block"),
-        "alone", "rep", "copies", "s",
+def deal(members: DataFrame, rows: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Into which blocks texts go: ``kind``, ``comp``, ``cls``, ``block``, ``alone`` (no tile beside its own), ``band``, and of each text ``rep``, ``copies``, ``s``, ``b``,
+    ``heavy``; and the numbers of ``blocks`` of each ``comp`` and ``cls`` of the last kind.
+
+    members: ``rep``, ``s``, ``copies``, ``n``, ``comp`` of the texts that share a bucket; rows: ``k``, ``s``, ``b`` of all.
+    """
+    size = [F.sum("n").alias("total"), F.count("*").alias("count")]
+    whole = common.durable(members.groupBy("comp").agg(*size).select("comp", _fits().alias("alone")), "whole")
+    none = {"int": F.lit(None).cast("int"), "bands": F.lit(None).cast("array<bigint>"), "bigint": F.lit(None).cast("bigint")}
+    small = members.join(whole.where("alone").select("comp"), "comp").select(
+        F.lit(WHOLE).alias("kind"), "comp", F.lit(0).alias("cls"), F.lit(0).alias("block"), F.lit(True).alias("alone"), none["int"].alias("band"), "rep", "copies", "s", none["bands"].alias("b"), none["bigint"].alias("heavy"),
+    )
+    no_parts = whole.limit(0).select("comp", F.lit(0).alias("cls"), F.lit(0).alias("blocks"))
+    large = whole.where("not alone").select("comp")
+    if large.isEmpty():
+        return small, no_parts
+    large = members.join(large, "comp").select("rep", "s", "copies", "n")
+    large = common.durable(large.join(rows.select(F.col("k").alias("rep"), "s", "b"), ["rep", "s"]).distinct(), "large")
+    placed = large.select("rep", "n", F.posexplode("b").alias("band", "h"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"x{k}") for k in range(2)]
+    buckets = common.durable(placed.groupBy("h", "band").agg(*size, F.min("rep").alias("hub"), *marks).where("count > 1"), "buckets")
+    light = (F.col("count") <= LIGHT) & (F.col("total") <= BLOCK_SHINGLES)
+    # Of buckets with the same members the first is enough.
+    kept = buckets.where(light).groupBy("x0", "x1", "count").agg(F.min(F.struct("band", "h")).alias("first")).select("first.*")
+    heavy = placed.join(buckets.where(~light).select("h", "band", "hub"), ["h", "band"]).select("rep", "band", "hub")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("band"))
+    bits = common.durable(heavy.groupBy("rep").agg(F.bit_or(bit).alias("heavy")), "heavy")
+    own = large.join(bits, "rep", "left").select("rep", "s", "copies", "n", "b", F.coalesce("heavy", F.lit(0).cast("bigint")).alias("heavy"))
+    of_buckets = placed.select("rep", "h", "band").join(kept, ["h", "band"]).join(own, "rep").select(
+        F.lit(BUCKET).alias("kind"), F.col("h").alias("comp"), F.lit(0).alias("cls"), F.lit(0).alias("block"), F.lit(True).alias("alone"), "band", "rep", "copies", "s", "b", "heavy",
+    )
+    # Components of the large buckets alone, dealt by size and hash.
+    near = components.components(heavy.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+    sized = own.join(near, "rep").withColumn("cls", F.floor(F.log("n") / math.log(float(1 / threshold)) + 1e-9).cast("int"))
+    sized = common.durable(sized, "sized")
+    fits = sized.groupBy("comp").agg(*size).select("comp", _fits().alias("alone"))
+    parts = sized.groupBy("comp", "cls").agg(*size).select("comp", "cls", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("count") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+    parts = common.durable(parts, "blocks")
+    of_parts = sized.join(fits, "comp").join(parts, ["comp", "cls"]).select(
+        F.lit(PART).alias("kind"), "comp", F.when(F.col("alone"), 0).otherwise(F.col("cls")).alias("cls"), F.when(F.col("alone"), 0).otherwise(F.pmod(F.xxhash64("rep", "s"), F.col("blocks"))).cast("int").alias("block"),
+        "alone", none["int"].alias("band"), "rep", "copies", "s", "b", "heavy",
     )
+    return small.unionByName(of_buckets).unionByName(of_parts), parts
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``key``, ``class_id`` (smallest key of its class), ``n_links``, ``copies`` (documents with the same shingle set) of every key."""
+    rows, texts, members = candidates(docs, key, text, size, threshold, recall)
+    dealt, parts = deal(members, rows, threshold)
     own_text = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("t"))
     # Always by a shuffle: the members grow with the texts.
-    placed = own_text.join(dealt.hint("merge"), "rep").repartition("comp", "cls", "block").sortWithinPartitions("comp", "cls", "block", "rep", "s")
+    placed = own_text.join(dealt.hint("merge"), "rep").repartition("kind", "comp", "cls", "block").sortWithinPartitions("kind", "comp", "cls", "block", "rep", "s")
     first = common.durable(_gather(placed, size, threshold), "verified")
     links = first.where("rep is not null").select("rep", "links", "root")
     blocks = first.where("data is not null").select("comp", "cls", "block", "data")
@@ -278,6 +330,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     return out.groupBy(F.col("k").alias(key)).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("copies").alias("copies"))
 
 
+def candidates(docs: DataFrame, key: str, text: str, size: int, threshold: Fraction, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows; ``s``, ``rep``, ``copies`` of the different texts; ``rep``, ``s``, ``copies``, ``n``, ``comp`` of those that share a bucket."""
+    bands = Bands(*banding(float(threshold), recall, MOST_HASHES))
+    rows = common.durable(signatures(docs, key, text, size, bands), "signatures")
+    texts = common.durable(rows.groupBy("s").agg(F.min("k").alias("rep"), F.countDistinct("k").alias("copies")), "texts")
+    of_reps = rows.join(texts, (rows["s"] == texts["s"]) & (rows["k"] == texts["rep"]))
+
+    # One row for each text and band; buckets of one text are gone after the first aggregation.
+    firsts = common.durable(of_reps.select("rep", F.explode("b").alias("h")).distinct(), "bands")
+    hubs = firsts.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
+    edges = firsts.join(hubs, "h").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    near = components.components(edges).select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+    members = of_reps.select("rep", texts["s"], "copies", "n").distinct().join(near, "rep")
+    return rows, texts, common.durable(members, "members")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest key of each class, one row of it, and rows without a key. Texts that share a key are documents of their own."""
     keyed = docs.where(F.col(key).isNotNull())

@@ -71,7 +71,9 @@ def test_join_against_brute_force(spark):
     assert got_classes(spark, rows) == classes_by_hand(rows)
 
 
-def test_join_in_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("light", [64, 0, 6])
+def test_join_in_many_blocks(spark, monkeypatch, light):
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
     # Blocks so small that components fall into several, over several classes of size.
     monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 150)
@@ -92,6 +94,21 @@ def test_join_in_many_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_a_chain_of_chance_meetings_costs_what_its_buckets_hold(spark):
+    # Each text shares three quarters of its shingles with the next one: they meet in bands, but none is near another, but for one pair.
+    r = random.Random(4)
+    line = words(r, 12 * 1000 + 100)
+    rows = [(k, " ".join(line[12 * k : 12 * k + 100])) for k in range(1000)] + [(5000, " ".join([*line[2400:2499], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed, _, members = jaccard_join.candidates(df, "doc_id", "text", 5, jaccard_join.THRESHOLD, jaccard_join.RECALL)
+    assert members.groupBy("comp").count().agg(F.max("count")).first()[0] > 900
+    dealt, parts = jaccard_join.deal(members, signed, jaccard_join.THRESHOLD)
+    sizes = [x["count"] for x in dealt.groupBy("kind", "comp", "cls", "block").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in sizes) < 30_000 and parts.isEmpty()
+    found = {k: v for k, v in got_classes(spark, rows).items() if v != (k, 0)}
+    assert found == {200: (200, 1), 5000: (200, 1)}
+
+
 def test_join_of_nothing(spark):
     assert got_classes(spark, []) == {}
     assert got_classes(spark, [(1, "only one document of some words")]) == {1: (1, 0)}
