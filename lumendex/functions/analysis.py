@@ -44,8 +44,3 @@ def occurrences(fields: Column) -> Column:
         return F.transform(tokens(text), lambda t, i: F.struct(t.alias("term"), (base + F.least(i.cast("bigint"), F.lit(MAX_OFFSET))).alias("position")))
 
     return F.flatten(F.transform(fields, of_field))
-
-
-def normalised(term: str) -> Column:
-    """A query term as the index has it: lower case, not split."""
-    return F.lower(F.lit(term))

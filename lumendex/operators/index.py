@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis
 
+#: Row numbers that are broadcast at most (8 bytes each).
+MOST_BROADCAST = 1_000_000
+
 
 def spread(df: DataFrame) -> DataFrame:
     """A plain scan of fewer partitions than half the cores, dealt over all cores; anything else as it is.
@@ -28,13 +31,15 @@ def with_lengths(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_len", analysis.token_count(F.col("fields")))
 
 
-def build_postings(docs: DataFrame, *keep: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+def build_postings(docs: DataFrame, *keep: str, wanted: Callable[[Column], Column] | None = None, required: Iterable[str] = ()) -> DataFrame:
     """``term``, ``rowid``, ``tf``, ``doc_len``, ``positions`` (ascending), and the columns ``keep``, of documents (rowid, fields).
 
-    wanted: a condition on terms; other tokens are dropped before they become rows.
+    wanted: a condition on terms; other tokens are dropped before they become rows. required: terms without which a document has no rows.
     """
     # A generator of one row keeps the tokens from being computed once for each use.
     tokens = docs.select("rowid", *keep, F.explode(F.array(analysis.occurrences(F.col("fields")))).alias("o"))
+    for term in sorted(required):
+        tokens = tokens.where(F.array_contains(F.col("o.term"), term))
     own = F.filter("o", lambda t: wanted(t["term"])) if wanted else F.col("o")
     rows = tokens.select("rowid", *keep, F.size("o").alias("doc_len"), F.explode(own).alias("t"))
     grouped = rows.select("rowid", *keep, "doc_len", "t.term", "t.position").groupBy("term", "rowid", "doc_len", *keep)
@@ -50,6 +55,8 @@ class Index:
     segments: int = 1
     #: The documents (rowid, fields), if postings aren't stored but made when asked for.
     source: DataFrame | None = None
+    #: Live documents and tokens of all of them, where they were counted before.
+    known: tuple[int, int] | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, rowid: str = "rowid", fields: list[str] | None = None) -> Index:
@@ -61,14 +68,38 @@ class Index:
     @cached_property
     def totals(self) -> tuple[int, int]:
         """Live documents, and tokens of all of them."""
-        row = self.docs.agg(F.count("*").alias("n"), F.sum("doc_len").alias("t")).first()
-        return row.n, row.t or 0
-
-    def needed(self, terms: set[str], prefixes: set[str]) -> DataFrame:
-        """The postings of some terms and of all terms with some prefixes; of a stored index both reach the scan as pushed filters."""
+        if self.known is None:
+            row = self.docs.agg(F.count("*").alias("n"), F.sum("doc_len").alias("t")).first()
+            return row.n, row.t or 0
+        return self.known
+
+    def frequencies(self, terms: set[str]) -> dict[str, int]:
+        """In how many live documents each of some terms stands: one row a term. An index that isn't stored is counted as a whole in the same pass."""
+        order = sorted(terms)
+        if self.source is None:
+            found = self.postings.where(F.col("term").isin(order)).groupBy("term").agg(F.count("*").alias("n")).collect() if order else []
+            return dict.fromkeys(order, 0) | {r.term: r.n for r in found}
+        tokens = self.source.select(F.explode(F.array(F.transform(analysis.occurrences(F.col("fields")), lambda t: t["term"]))).alias("o"))
+        counts = [F.count_if(F.array_contains("o", t)).alias(f"t{k}") for k, t in enumerate(order)]
+        row = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("o")), F.lit(0)).alias("t"), *counts).first()
+        self.known = (row.n, row.t)
+        return {t: row[f"t{k}"] for k, t in enumerate(order)}
+
+    def needed(self, terms: set[str], prefixes: set[str], required: dict[str, int] | None = None) -> DataFrame:
+        """The postings of some terms and of all terms with some prefixes; of a stored index both reach the scan as pushed filters.
+
+        required: terms (with their frequencies) without which documents aren't asked for; theirs are dropped before any exchange.
+        """
         if self.source is not None:
-            return build_postings(self.source, wanted=lambda term: matches_leaf(terms, prefixes, term))
-        return self.postings.where(matches_leaf(terms, prefixes))
+            return build_postings(self.source, wanted=lambda term: matches_leaf(terms, prefixes, term), required=required or ())
+        rows = self.postings.where(matches_leaf(terms, prefixes))
+        if not required or len(terms) + len(prefixes) == 1:
+            return rows
+        rare = min(required, key=lambda t: (required[t], t))
+        if required[rare] > MOST_BROADCAST:
+            return rows
+        few = F.broadcast(self.postings.where(F.col("term") == rare).select("rowid"))
+        return rows.join(few, "rowid", "left_semi").select(*self.postings.columns)
 
 
 def matches_leaf(terms: set[str], prefixes: set[str], term: Column | None = None) -> Column:

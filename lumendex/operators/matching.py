@@ -25,6 +25,14 @@ def _field(position: Col) -> Col:
     return F.shiftright(position, FIELD_SHIFT)
 
 
+def _shifted(positions: Col, by: int) -> Col:
+    return F.transform(positions, lambda x: x - by)
+
+
+def _marked(positions: Col, number: int) -> Col:
+    return F.transform(positions, lambda x: F.struct(x.alias("p"), F.lit(number).alias("k")))
+
+
 def compile_query(node: Query, term: Callable[[str], Col], prefix: Callable[[str], Col], positions: bool, scope: int | None = None) -> Col:
     def inside(q: Query, scope: int | None) -> Col:
         if isinstance(q, All):
@@ -51,29 +59,30 @@ def compile_query(node: Query, term: Callable[[str], Col], prefix: Callable[[str
     def _phrase(q: Phrase, scope: int | None) -> Col:
         if not q.terms:
             return F.lit(False)
-        rest = [term(t) for t in q.terms[1:]]
-
-        def starts(s: Col) -> Col:
-            follow = [F.array_contains(p, s + i) & (_field(s + i) == _field(s)) for i, p in enumerate(rest, 1)]
-            return all_of([*([] if scope is None else [_field(s) == scope]), *follow])
-
-        present = all_of([p.isNotNull() for p in rest])
-        return _sure(present & F.exists(term(q.terms[0]), starts))
+        # Where all terms stand in their places, as places of the first one; linear in the lists.
+        starts = term(q.terms[0])
+        for i, t in enumerate(q.terms[1:], 1):
+            starts = F.array_intersect(starts, _shifted(term(t), i))
+        last = len(q.terms) - 1
+        inside_field = lambda s: (_field(s + last) == _field(s)) & (F.lit(True) if scope is None else _field(s) == scope)
+        return _sure(F.exists(starts, inside_field))
 
     def _near(q: Near, scope: int | None) -> Col:
         if not q.terms:
             return F.lit(False)
-        needed = Counter(q.terms)
-
-        def window(s: Col) -> Col:
-            def within(x: Col) -> Col:
-                return (x >= s) & (x <= s + q.distance) & (_field(x) == _field(s))
-
-            counts = [F.size(F.filter(term(t), within)) >= n for t, n in needed.items()]
-            return all_of([*([] if scope is None else [_field(s) == scope]), *counts])
-
-        present = all_of([term(t).isNotNull() for t in needed])
-        begins = F.concat(*[term(t) for t in needed])
-        return _sure(present & F.exists(begins, window))
+        # One sweep over all positions in order, with the last ones of each term: a window ends where all terms' needed ones are near enough.
+        needed = list(Counter(q.terms).items())
+        lists = [_marked(term(t), k) for k, (t, _) in enumerate(needed)]
+        none = F.array(*[F.array_repeat(F.lit(-1).cast("bigint"), n) for _, n in needed])
+
+        def step(seen: Col, x: Col) -> Col:
+            last = F.transform(seen["last"], lambda own, k: F.when(k == x["k"], F.concat(F.slice(own, F.lit(2), F.size(own)), F.array(x["p"]))).otherwise(own))
+            first = lambda own: F.get(own, F.lit(0))
+            close = F.forall(last, lambda own: (first(own) >= F.greatest(x["p"] - q.distance, F.lit(0))) & (_field(first(own)) == _field(x["p"])))
+            hit = close if scope is None else close & (_field(x["p"]) == scope)
+            return F.struct(last.alias("last"), (seen["hit"] | hit).alias("hit"))
+
+        every = F.array_sort(F.concat(*lists))
+        return _sure(F.aggregate(every, F.struct(none.alias("last"), F.lit(False).alias("hit")), step)["hit"])
 
     return inside(node, scope)

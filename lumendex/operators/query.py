@@ -118,9 +118,9 @@ class SearchOptions:
 
     def validated(self) -> SearchOptions:
         if self.limit < 1:
-            raise InvalidInput("search limit must be greater than zero")
+            raise InvalidInput("a search must be allowed one hit at least")
         if not (math.isfinite(self.k1) and self.k1 >= 0 and math.isfinite(self.b) and 0 <= self.b <= 1):
-            raise InvalidInput("BM25 requires finite k1 >= 0 and b in 0..=1")
+            raise InvalidInput("k1 must be a finite number from 0 on, b one from 0 to 1")
         return self
 
 

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analysis
 from ..functions.bm25 import Bm25
-from ..operators.index import Index, build_postings, spread
+from ..operators.index import Index, spread
 from ..operators.query import All, SearchOptions, query
+from ..sources.shared import fresh_path
+from ..sources.store import Database, DatabaseConfig, Snapshot
+from ..streaming.ingest import ingest_stream
 from . import batch
 from . import search as planner
 
@@ -47,18 +50,31 @@ def _parts(spark: SparkSession, sf_dir: str) -> Index:
     return Index.of(_table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"])
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three generations: all documents; every third replaced by another's text; every seventh deleted."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rowid"), "text")
-    first = docs.select("rowid", F.lit(1).cast("bigint").alias("generation"), F.lit("upsert").alias("op"), "text")
-    second = docs.where("rowid % 3 = 0").select("rowid", F.lit(2).cast("bigint").alias("generation"), F.lit("upsert").alias("op"), F.concat(F.lit("replaced the "), F.substring("text", 1, 200)).alias("text"))
-    third = docs.where("rowid % 7 = 0").select("rowid", F.lit(3).cast("bigint").alias("generation"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"))
-    return first.union(second).union(third)
+_VERSIONS: dict[tuple[str, str], tuple[Database, dict[str, Snapshot]]] = {}
 
 
-def _live(log: DataFrame) -> DataFrame:
-    newest = log.groupBy("rowid").agg(F.max_by(F.struct("op", "text", "generation"), "generation").alias("d"))
-    return newest.where("d.op = 'upsert'").select("rowid", "d.generation", F.col("d.text").alias("text"))
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[Database, dict[str, Snapshot]]:
+    """A store with a history, built once a session and table folder, and snapshots of it.
+
+    "commits": all documents (generation 1); every third with another text (2); every seventh deleted (3). "compacted": the same, compacted. "later":
+    every fifth deleted after that (4).
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VERSIONS:
+        docs = _table(spark, sf_dir, "documents")
+        db = Database(spark, fresh_path(spark, "store"), DatabaseConfig(query_cache_capacity=0))
+        kept = {}
+        gone = lambda n: docs.where(F.col("doc_id") % n == 0).select(F.col("doc_id").alias("rowid"), F.lit("delete").alias("op"), F.lit(None).cast("array<string>").alias("fields"))
+        db.upsert_df(docs, "doc_id", ["text"])
+        db.upsert_df(docs.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("replaced the "), "text").alias("text")), "doc_id", ["text"])
+        db.commit_ops(gone(7))
+        kept["commits"] = db.snapshot()
+        db.optimize(vacuum=False)
+        kept["compacted"] = db.snapshot()
+        db.commit_ops(gone(5))
+        kept["later"] = db.snapshot()
+        _VERSIONS[key] = db, kept
+    return _VERSIONS[key]
 
 
 # -- SQL building blocks -------------------------------------------------------------------
@@ -69,13 +85,16 @@ _PARTS = (
     "docs AS (SELECT p_partkey AS rowid, 0 AS field, " + _TOKENS.format(text="p_name") + " AS toks FROM part "
     "UNION ALL SELECT p_partkey, 1, " + _TOKENS.format(text="p_type") + " FROM part)"
 )
-_LIVE_DOCS = (
+_LOG = (
     "log AS (SELECT doc_id AS rowid, 1 AS gen, 'upsert' AS op, text FROM documents "
-    "UNION ALL SELECT doc_id, 2, 'upsert', 'replaced the ' || substr(text, 1, 200) FROM documents WHERE doc_id % 3 = 0 "
-    "UNION ALL SELECT doc_id, 3, 'delete', NULL FROM documents WHERE doc_id % 7 = 0), "
-    "newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY rowid ORDER BY gen DESC) = 1), "
-    "docs AS (SELECT rowid, 0 AS field, " + _TOKENS.format(text="text") + " AS toks FROM newest WHERE op = 'upsert')"
+    "UNION ALL SELECT doc_id, 2, 'upsert', 'replaced the ' || text FROM documents WHERE doc_id % 3 = 0 "
+    "UNION ALL SELECT doc_id, 3, 'delete', NULL FROM documents WHERE doc_id % 7 = 0{more}), "
+    "newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY rowid ORDER BY gen DESC) = 1)"
 )
+_NEWEST = _LOG.format(more="")
+_OF_NEWEST = ", docs AS (SELECT rowid, 0 AS field, " + _TOKENS.format(text="text") + " AS toks FROM newest WHERE op = 'upsert')"
+_LIVE_DOCS = _NEWEST + _OF_NEWEST
+_LATER_DOCS = _LOG.format(more=" UNION ALL SELECT doc_id, 4, 'delete', NULL FROM documents WHERE doc_id % 5 = 0") + _OF_NEWEST
 
 
 def _ranked(corpus: str, match: str, scoring: str, k1: float = 1.2, b: float = 0.75, limit: int = 20, extra: str = "") -> str:
@@ -132,11 +151,11 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "WITH " + _DOCS + ", occ AS (SELECT rowid, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM docs) "
-    "SELECT term, rowid, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM occ WHERE term IN ('the', 'of', 'tion') GROUP BY term, rowid"
+    "SELECT term, rowid, count(*) AS tf, md5(string_agg(pos::VARCHAR, ',' ORDER BY pos)) AS positions FROM occ GROUP BY term, rowid"
 )
 def postings_tf_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).needed({"the", "of", "tion"}, set())
-    return rows.select("term", "rowid", F.col("tf").cast("bigint").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    rows = _documents(spark, sf_dir).postings
+    return rows.select("term", "rowid", F.col("tf").cast("bigint").alias("tf"), F.md5(F.array_join(F.col("positions").cast("array<string>"), ",")).alias("positions"))
 
 
 @registered(
@@ -278,10 +297,10 @@ def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(_parts(spark, sf_dir), query.prefix("s"), limit=300)
 
 
-@registered("SELECT * FROM (VALUES (7::BIGINT, '全文'), (8::BIGINT, '全文')) t(rowid, hit)")
+@registered("SELECT * FROM (VALUES (7::BIGINT, '百花'), (8::BIGINT, '百花')) t(rowid, hit)")
 def cjk_bigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([(7, ["这是全文检索数据库"]), (8, ["x", "全文"]), (9, ["全", "文"])], "rowid long, fields array<string>")
-    return _search(Index.of(docs), query.term("全文")).select("rowid", F.lit("全文").alias("hit"))
+    docs = spark.createDataFrame([(7, ["春天来了百花盛开"]), (8, ["x", "百花"]), (9, ["百", "花"])], "rowid long, fields array<string>")
+    return _search(Index.of(docs), query.term("百花")).select("rowid", F.lit("百花").alias("hit"))
 
 
 _BATCH = {0: "search_term", 1: "search_and_not", 2: "search_prefix", 3: "search_phrase", 4: "search_not_only"}
@@ -294,39 +313,83 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "rowid", "score")
 
 
-# -- versions ------------------------------------------------------------------------------
+# -- hits ----------------------------------------------------------------------------------
+
+
+@registered("SELECT rowid, round(score, 3) AS score FROM (" + ORACLES["search_or"] + ")")
+def search_single_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's own precision."""
+    found = planner.search_df(_documents(spark, sf_dir), query.or_([query.term(t) for t in ("the", "of", "tion")]), SearchOptions(limit=20), fields=False)
+    return found.select("rowid", F.round(F.col("score").cast("double"), 3).alias("score"))
+
+
+@registered("SELECT rowid, md5(text) AS digest FROM (" + ORACLES["search_prefix"] + ") JOIN documents ON doc_id = rowid")
+def search_stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = planner.search_df(_documents(spark, sf_dir), query.prefix("thre"), SearchOptions(limit=20), precision="double", digits=6)
+    return found.select("rowid", F.md5(F.col("fields")[0]).alias("digest"))
+
+
+# -- the store -----------------------------------------------------------------------------
+
 
-_NEWEST = _LIVE_DOCS[: _LIVE_DOCS.index(", docs AS")]
+_REPLACED = _ranked(_LIVE_DOCS, _SCORED, "term IN ('replaced', 'of')")
+
+
+def _replaced(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
+    return _search(_versions(spark, sf_dir)[1][version].index(), query.or_([query.term("replaced"), query.term("of")]))
 
 
 @registered("WITH " + _NEWEST + " SELECT rowid, gen::BIGINT AS generation, md5(text) AS digest FROM newest WHERE op = 'upsert'")
 def upsert_delete_visible_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _live(_log(spark, sf_dir)).select("rowid", "generation", F.md5("text").alias("digest"))
+    return _versions(spark, sf_dir)[1]["commits"].live().select("rowid", "generation", F.md5(F.col("fields")[0]).alias("digest"))
 
 
-@registered(_ranked(_LIVE_DOCS, _SCORED, "term IN ('replaced', 'of')"))
+@registered(_REPLACED)
 def search_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = Index.of(_live(_log(spark, sf_dir)), "rowid", ["text"])
-    return _search(index, query.or_([query.term("replaced"), query.term("of")]))
+    return _replaced(spark, sf_dir, "commits")
+
+
+@registered(_REPLACED)
+def search_after_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replaced(spark, sf_dir, "compacted")
 
 
-@registered(_ranked(_LIVE_DOCS, _SCORED, "term IN ('replaced', 'of')"))
+@registered(_ranked(_LATER_DOCS, _SCORED, "term IN ('replaced', 'of')"))
 def search_live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above, from postings of all generations, of which the live ones are kept (as compaction does), none made anew."""
-    log = _log(spark, sf_dir)
-    docs = log.where("op = 'upsert'").select("rowid", "generation", F.array("text").alias("fields"))
-    live = _live(log).select("rowid", "generation", F.array("text").alias("fields"))
-    kept = build_postings(docs, "generation").join(live.select("rowid", "generation"), ["rowid", "generation"], "left_semi").drop("generation")
-    index = Index(live.select("rowid", "fields", F.size(analysis.tokens(F.col("fields")[0])).alias("doc_len")), kept)
-    return _search(index, query.or_([query.term("replaced"), query.term("of")]))
+    """From the compacted postings, less those that a later commit deleted."""
+    return _replaced(spark, sf_dir, "later")
+
+
+@registered(_ranked(_LATER_DOCS, _has("term = 'replaced'") + " AND " + _has("term = 'tion'"), "term IN ('replaced', 'tion')"))
+def search_and_after_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(_versions(spark, sf_dir)[1]["later"].index(), query.and_([query.term("replaced"), query.term("tion")]))
+
+
+@registered("WITH " + _LATER_DOCS + " SELECT count(*) AS live_docs, sum(len(toks))::BIGINT AS total_doc_len, 4::BIGINT AS generation FROM docs")
+def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db, _ = _versions(spark, sf_dir)
+    return spark.createDataFrame([(len(db), db.snapshot().index().totals[1], db.generation)], "live_docs long, total_doc_len long, generation long")
 
 
-@registered("SELECT doc_id AS rowid, text FROM documents WHERE doc_id = 42")
+@registered("WITH " + _LATER_DOCS.replace(_OF_NEWEST, "") + " SELECT rowid, text FROM newest WHERE op = 'upsert' AND rowid IN (42, 43, 44, 45, 48)")
 def get_by_rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where("doc_id = 42").select(F.col("doc_id").alias("rowid"), "text")
+    """A deleted row, one as it was first, and replaced ones."""
+    db, _ = _versions(spark, sf_dir)
+    found = {k: db.get(k) for k in (42, 43, 44, 45, 48)}
+    return spark.createDataFrame([(k, v[0]) for k, v in found.items() if v], "rowid long, text string")
 
 
 @registered("WITH " + _NEWEST + " SELECT rowid, op, gen::BIGINT AS generation FROM newest")
 def last_op_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.row_number().over(Window.partitionBy("rowid").orderBy(F.desc("generation")))
-    return _log(spark, sf_dir).withColumn("r", last).where("r = 1").select("rowid", "op", "generation")
+    return _versions(spark, sf_dir)[1]["commits"].newest_ops()
+
+
+@registered("SELECT doc_id AS rowid, 1::BIGINT AS generation, md5(text) AS digest FROM documents")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream, ingested twice under one name, which commits them once."""
+    db = Database(spark, fresh_path(spark, "store"))
+    # A pattern, as the table may be one file or a folder.
+    stream = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    for _ in range(2):
+        ingest_stream(db, stream, "doc_id", ["text"], "documents", fresh_path(spark, "progress")).awaitTermination()
+    return db.snapshot().live().select("rowid", "generation", F.md5(F.col("fields")[0]).alias("digest"))

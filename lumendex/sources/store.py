@@ -3,6 +3,9 @@
 ``_manifest/<number>.json`` names all folders of a version; creating the next number, which only one writer can, publishes a commit.
 ``commits/<id>/ops`` and ``commits/<id>/postings`` hold a commit, ``base/<id>/docs`` and ``base/<id>/postings`` what
 ``optimize`` compacted. A folder that no manifest names is invisible. A snapshot is one manifest, so readers are isolated.
+
+Which rows of the base and of the commits are live is told by the commits' row numbers, generations and operations alone; these few columns are broadcast
+up to ``MOST_BROADCAST`` operations, so documents and postings are filtered where they lie, and fields are read only by what asks for them.
 """
 
 from __future__ import annotations
@@ -27,12 +30,19 @@ from ..plans import search as planner
 from .files import Files
 
 FORMAT = 2
+#: Operations of commits after the base whose row numbers and generations are broadcast (some 30 bytes each).
+MOST_BROADCAST = 1_000_000
 OPS = T.StructType([T.StructField("rowid", T.LongType(), False), T.StructField("op", T.StringType(), False), T.StructField("fields", T.ArrayType(T.StringType()))])
 
 
 @dataclass(frozen=True)
 class DatabaseConfig:
+    """resident: keep the live index in the executors' memory (or on their disks) between searches. recover: open at the newest
+    good manifest, and remove damaged ones after it, rather than refuse; their commits are lost."""
+
     query_cache_capacity: int = 256
+    resident: bool = False
+    recover: bool = False
 
 
 @dataclass(frozen=True)
@@ -46,6 +56,10 @@ class Manifest:
     commits: tuple[tuple[str, int], ...] = ()
     #: Last batch of each named stream that was committed.
     batches: tuple[tuple[str, int], ...] = ()
+    #: Documents and tokens of the base, where known.
+    base_totals: tuple[int, int] | None = None
+    #: Operations of each commit after the base, by folder, where known.
+    sizes: tuple[tuple[str, int], ...] = ()
 
     def to_bytes(self) -> bytes:
         body = json.dumps(asdict(self), sort_keys=True)
@@ -60,6 +74,8 @@ class Manifest:
             inner = json.loads(outer["manifest"])
             inner["commits"] = tuple((p, g) for p, g in inner["commits"])
             inner["batches"] = tuple((s, b) for s, b in inner["batches"])
+            inner["sizes"] = tuple((p, n) for p, n in inner.get("sizes", ()))
+            inner["base_totals"] = tuple(inner["base_totals"]) if inner.get("base_totals") else None
             found = cls(**inner)
         except (ValueError, KeyError, TypeError, AttributeError) as e:
             raise Corrupt("manifest can't be read") from e
@@ -71,6 +87,9 @@ class Manifest:
         return found
 
 
+_COLUMNS = {"docs": ["rowid", "op", "fields", "doc_len", "generation"], "postings": ["term", "rowid", "tf", "doc_len", "positions", "generation"]}
+
+
 @dataclass
 class Snapshot:
     """One version of the store."""
@@ -78,52 +97,77 @@ class Snapshot:
     spark: SparkSession
     files: Files
     manifest: Manifest
+    resident: bool = False
     _index: indexing.Index | None = field(default=None)
 
-    def _rows(self, kind: str) -> DataFrame | None:
-        """Docs or postings of all folders, with their generation."""
-        m, parts = self.manifest, []
-        if m.base:
-            parts.append(self.spark.read.parquet(self.files.url(f"{m.base}/{kind}")).withColumn("generation", F.lit(m.base_generation).cast("bigint")))
-        if m.commits:
-            name = "ops" if kind == "docs" else "postings"
-            generations = F.create_map(*[F.lit(x) for p, g in m.commits for x in (p.rsplit("/", 1)[1], g)])
-            rows = self.spark.read.parquet(*[self.files.url(f"{p}/{name}") for p, _ in m.commits])
-            parts.append(rows.withColumn("generation", F.element_at(generations, F.col("commit")).cast("bigint")).drop("commit"))
-        if not parts:
+    def _base(self, kind: str) -> DataFrame | None:
+        """Docs or postings of the base, with its generation."""
+        m = self.manifest
+        if not m.base:
             return None
-        if kind == "docs":
-            parts = [p if "op" in p.columns else p.withColumn("op", F.lit("upsert")) for p in parts]
-        columns = {"docs": ["rowid", "op", "fields", "doc_len", "generation"], "postings": ["term", "rowid", "tf", "doc_len", "positions", "generation"]}[kind]
-        out = parts[0].select(*columns)
-        for p in parts[1:]:
-            out = out.unionByName(p.select(*columns))
-        return out
+        rows = self.spark.read.parquet(self.files.url(f"{m.base}/{kind}")).withColumn("generation", F.lit(m.base_generation).cast("bigint"))
+        return rows.withColumn("op", F.lit("upsert")).select(*_COLUMNS[kind]) if kind == "docs" else rows.select(*_COLUMNS[kind])
+
+    def _commits(self, kind: str) -> DataFrame | None:
+        """Operations or postings of all commits after the base, with their generations."""
+        m, name = self.manifest, "ops" if kind == "docs" else "postings"
+        if not m.commits:
+            return None
+        generations = F.create_map(*[F.lit(x) for p, g in m.commits for x in (p.rsplit("/", 1)[1], g)])
+        rows = self.spark.read.parquet(*[self.files.url(f"{p}/{name}") for p, _ in m.commits])
+        return rows.withColumn("generation", F.element_at(generations, F.col("commit")).cast("bigint")).select(*_COLUMNS[kind])
+
+    def _rows(self, kind: str) -> DataFrame | None:
+        parts = [p for p in (self._base(kind), self._commits(kind)) if p is not None]
+        return parts[0].unionByName(parts[-1]) if len(parts) == 2 else parts[0] if parts else None
+
+    def _live_rows(self, kind: str) -> DataFrame | None:
+        """Those rows that the newest operation of their row number left: of the base what no commit names, of commits what none after names."""
+        base, commits = self._base(kind), self._commits(kind)
+        if commits is None:
+            return base
+        # Only narrow columns of the commits are read and shuffled.
+        newest = self._commits("docs").groupBy("rowid").agg(F.max_by(F.struct("generation", "op"), "generation").alias("d")).select("rowid", "d.*")
+        sizes = dict(self.manifest.sizes)
+        few = sum(sizes.get(p, MOST_BROADCAST + 1) for p, _ in self.manifest.commits) <= MOST_BROADCAST
+        changed, kept = newest.select("rowid"), newest.where("op = 'upsert'").select("rowid", "generation")
+        if few:
+            changed, kept = F.broadcast(changed), F.broadcast(kept)
+        live = commits.join(kept, ["rowid", "generation"], "left_semi").select(*_COLUMNS[kind])
+        return live if base is None else base.join(changed, "rowid", "left_anti").select(*_COLUMNS[kind]).unionByName(live)
 
     def live(self) -> DataFrame:
         """rowid, fields, doc_len, generation of live documents: the newest operation of each row, if it is an upsert."""
-        rows = self._rows("docs")
+        rows = self._live_rows("docs")
         if rows is None:
             return self.spark.createDataFrame([], "rowid long, fields array<string>, doc_len int, generation long")
-        if not self.manifest.commits:
-            return rows.drop("op")
-        newest = rows.groupBy("rowid").agg(F.max_by(F.struct("op", "fields", "doc_len", "generation"), "generation").alias("d"))
-        return newest.where("d.op = 'upsert'").select("rowid", "d.fields", "d.doc_len", "d.generation")
+        return rows.select("rowid", "fields", "doc_len", "generation")
+
+    def newest_ops(self) -> DataFrame:
+        """rowid, op, generation of the newest operation of each row number that the base or a commit names."""
+        rows = self._rows("docs")
+        if rows is None:
+            return self.spark.createDataFrame([], "rowid long, op string, generation long")
+        return rows.groupBy("rowid").agg(F.max_by(F.struct("op", "generation"), "generation").alias("d")).select("rowid", "d.*")
 
     def index(self) -> indexing.Index:
         if self._index is None:
-            live = self.live()
-            if self.manifest.format_version == 1:  # documents only: indexed anew
-                postings = indexing.build_postings(live)
-            elif (postings := self._rows("postings")) is None:
+            m, live = self.manifest, self.live()
+            postings = None if m.format_version == 1 else self._live_rows("postings")
+            if postings is None:  # documents only: indexed anew
                 postings = indexing.build_postings(live)
-            elif self.manifest.commits:
-                postings = postings.join(live.select("rowid", "generation"), ["rowid", "generation"], "left_semi").drop("generation")
-            else:
-                postings = postings.drop("generation")
-            self._index = indexing.Index(live.drop("generation"), postings, len(self.manifest.commits) + bool(self.manifest.base))
+            docs, postings = live.drop("generation"), postings.select("term", "rowid", "tf", "doc_len", "positions")
+            if self.resident:
+                docs, postings = docs.select("rowid", "fields", "doc_len").persist(), postings.persist()
+            self._index = indexing.Index(docs, postings, len(m.commits) + bool(m.base), known=None if m.commits else m.base_totals)
         return self._index
 
+    def release(self) -> None:
+        """Give up what was kept in memory."""
+        if self._index is not None and self.resident:
+            self._index.docs.unpersist()
+            self._index.postings.unpersist()
+
 
 class Database:
     """A store in a folder. Handles may be shared between threads; several writers, also of other processes, may commit."""
@@ -146,8 +190,14 @@ class Database:
         numbers = [int(n.removesuffix(".json")) for n in names]
         if numbers != list(range(numbers[0], numbers[-1] + 1)):
             raise Corrupt("a manifest is missing")
-        # The newest must be good: an older one would silently lose commits.
-        found = Manifest.from_bytes(self.files.read(f"_manifest/{names[-1]}"))
+        # The newest must be good, unless recovery is asked for: an older one would silently lose commits.
+        try:
+            found = Manifest.from_bytes(self.files.read(f"_manifest/{names[-1]}"))
+        except Corrupt:
+            if not self.config.recover or len(names) == 1:
+                raise
+            self.files.delete(f"_manifest/{names[-1]}")
+            return self._newest()
         if found.number != numbers[-1]:
             raise Corrupt("manifest has another number than its name")
         return found
@@ -157,7 +207,9 @@ class Database:
         newest = self._newest()
         with self._lock:
             if self._snapshot is None or self._snapshot.manifest != newest:
-                self._snapshot = Snapshot(self.spark, self.files, newest)
+                if self._snapshot is not None:
+                    self._snapshot.release()
+                self._snapshot = Snapshot(self.spark, self.files, newest, self.config.resident)
                 self._cache.clear()
             return self._snapshot
 
@@ -193,7 +245,7 @@ class Database:
         return Transaction(self)
 
     def commit_ops(self, ops: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Commit a DataFrame of operations (rowid, op, fields), one a row at most; its size may be any. Gives the generation.
+        """Commit a DataFrame of operations (rowid, op, fields), one a row at most; its size may be any. Gives the generation (without operations the current one).
 
         batch: a stream's name and batch number; a batch that was committed before isn't again.
         """
@@ -201,9 +253,23 @@ class Database:
             self.optimize()
         commit = uuid.uuid4().hex
         folder = f"commits/{commit}"
-        rows = indexing.with_lengths(indexing.spread(ops.select("rowid", "op", "fields"))).withColumn("commit", F.lit(commit))
+        fields = F.col("fields")
+        whole = fields.isNotNull() & ~F.exists(fields, lambda x: x.isNull()) & F.size(fields).between(1, MAX_FIELDS)
+        good = F.col("rowid").isNotNull() & ((F.col("op") == "delete") | ((F.col("op") == "upsert") & whole))
+        seen = Observation()
+        told = ops.select("rowid", "op", "fields").observe(seen, F.count("*").alias("n"), F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("bad"))
+        rows = indexing.with_lengths(indexing.spread(told)).withColumn("commit", F.lit(commit))
         rows.write.parquet(self.files.url(f"{folder}/ops"))
-        stored = self.spark.read.parquet(self.files.url(f"{folder}/ops"))
+        count, bad = seen.get["n"], seen.get["bad"]
+        stored = self.spark.read.schema(rows.schema).parquet(self.files.url(f"{folder}/ops"))
+        repeated = 0 if bad else count - stored.agg(F.count_distinct("rowid")).first()[0]
+        if bad or repeated or not count:
+            self.files.delete(folder)
+            if bad:
+                raise InvalidInput(f"{bad} operations aren't an upsert or a delete, or lack a rowid, or have null fields, or not 1 to {MAX_FIELDS} of them")
+            if repeated:
+                raise InvalidInput("a commit takes one operation for each rowid")
+            return self.generation
         postings = indexing.build_postings(stored.where("op = 'upsert'")).withColumn("commit", F.lit(commit))
         postings.sortWithinPartitions("term", "rowid").write.parquet(self.files.url(f"{folder}/postings"))
 
@@ -213,7 +279,7 @@ class Database:
                 return now
             done |= dict([batch] if batch else [])
             generation = now.generation + 1
-            return replace(now, generation=generation, format_version=FORMAT, commits=(*now.commits, (folder, generation)), batches=tuple(sorted(done.items())))
+            return replace(now, generation=generation, format_version=FORMAT, commits=(*now.commits, (folder, generation)), sizes=(*now.sizes, (folder, count)), batches=tuple(sorted(done.items())))
 
         return self._publish(add).generation
 
@@ -221,30 +287,27 @@ class Database:
         """Commit all rows of a DataFrame. fields: string columns, or one array column. Of equal rowids one row must be given."""
         own = F.array(*[F.col(f) for f in fields]) if isinstance(fields, list) else F.col(fields)
         ops = df.select(F.col(rowid).cast("bigint").alias("rowid"), F.lit("upsert").alias("op"), own.alias("fields"))
-        bad = F.col("rowid").isNull() | F.col("fields").isNull() | F.exists("fields", lambda x: x.isNull()) | ~F.size("fields").between(1, MAX_FIELDS)
-        check = ops.agg(F.count(F.when(bad, 1)).alias("bad"), F.count("*").alias("n"), F.count_distinct("rowid").alias("ids")).first()
-        if check.bad:
-            raise InvalidInput(f"{check.bad} rows without a rowid, with null fields, or not 1 to {MAX_FIELDS} of them")
-        if check.ids < check.n:
-            raise InvalidInput("rowids must differ within a commit")
-        return self.commit_ops(ops, batch) if check.n else self.generation
-
-    def optimize(self) -> None:
-        """Compact to live documents and their postings (which aren't made anew) and remove what no manifest needs."""
+        return self.commit_ops(ops, batch)
+
+    def optimize(self, vacuum: bool = True) -> None:
+        """Compact to live documents and their postings (which aren't made anew) and (unless told not to) remove what no manifest needs."""
         before = self.refresh()
         base = f"base/{uuid.uuid4().hex}"
         own = before.index()
         own.docs.sort("rowid").write.parquet(self.files.url(f"{base}/docs"))
+        counted = self.spark.read.parquet(self.files.url(f"{base}/docs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")).first()
         own.postings.sort("term", "rowid").write.parquet(self.files.url(f"{base}/postings"))
         seen = before.manifest
 
         def swap(now: Manifest) -> Manifest:
             # Commits that came meanwhile stay on top of the new base.
             later = tuple(c for c in now.commits if c not in seen.commits)
-            return replace(now, format_version=FORMAT, base=base, base_generation=seen.generation, commits=later)
+            sizes = tuple((p, n) for p, n in now.sizes if p in {c for c, _ in later})
+            return replace(now, format_version=FORMAT, base=base, base_generation=seen.generation, base_totals=(counted.n, counted.t), commits=later, sizes=sizes)
 
         self._publish(swap)
-        self.vacuum()
+        if vacuum:
+            self.vacuum()
 
     def vacuum(self, orphans: bool = False) -> None:
         """Delete older manifests and the folders that only they name. Other handles must refresh.
@@ -355,9 +418,9 @@ class Transaction:
         ops = self._open()
         for _, op, fields in ops:
             if op == "upsert" and not fields:
-                raise InvalidInput("a document requires at least one field")
+                raise InvalidInput("an upsert needs a field")
             if op == "upsert" and len(fields) > MAX_FIELDS:
-                raise InvalidInput(f"a document supports at most {MAX_FIELDS} fields")
+                raise InvalidInput(f"an upsert takes no more than {MAX_FIELDS} fields")
             if op == "upsert" and not all(isinstance(f, str) for f in fields):
                 raise InvalidInput("fields must be strings")
         self._ops = None
