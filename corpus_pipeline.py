@@ -2,6 +2,10 @@
 
 Toxic documents go, one document of each class of near duplicates stays, documents that benchmark items leak into go, and
 what is left is encoded. Each stage is written as Parquet and read again as the next one's input.
+
+Rows without a key stay, as no stage can name them (unless their text is toxic). Null and empty texts are copies of each other, hold no benchmark item and have no
+tokens; long ones are read whole. Of repeated rows, and of texts of a class, the one with the smallest key stays; different texts under one key are documents of
+their own. Empty tables give empty tables. All stages but the last keep the columns as they are, whatever their names.
 """
 
 from __future__ import annotations
