@@ -7,7 +7,8 @@ tokens' bytes. Works on any part of the rows alone, so tasks need no exchange.
 
 Null texts count as empty; empty texts have no tokens. Texts of any length are cut at
 places where a piece surely starts, so memory follows ``CHUNK``, not the longest text.
-Repeated rows are encoded alike; other columns are not read.
+Repeated rows are encoded alike; empty tables give no rows; other columns, whatever their names, are not read. A text without white space, however long, is one
+part, and takes memory in proportion. Merging one piece is the tiktoken library's own inner call, as it has no public one for it.
 """
 
 from __future__ import annotations

@@ -13,18 +13,21 @@ text; u64 bit offsets of the checkpoints; the codes, most significant bit first.
 
 The counts come from a first pass that leaves the ids, packed, in the shared folder; the
 second pass orders them by key (a range exchange, no single task) and writes.
-Files appear by Spark's commit protocol. Null texts count as empty; rows with a null key come first;
-rows of equal keys are kept each, in the order of their packed ids. Empty tables give no rows.
+Files appear by Spark's commit protocol. Null texts count as empty; long ones are read whole, each in one block; rows with a null key come first;
+rows of equal keys are kept each, in the order of their packed ids' lengths and hashes, and spread over files like others. Empty tables give no rows. Other columns, whatever their
+names, aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, common
 
+VOCABULARY = "byte_bpe_50k.json"
 LONGEST, STRIDE = 18, 256
 #: Bytes of packed ids that make a file, tokens that make a block.
 FILE_BYTES, BLOCK_TOKENS = 16 << 20, 500_000
@@ -222,8 +226,10 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 @cache
 def encoder() -> byte_bpe.ByteBpe:
-    """The json file's vocabulary is that of the ranks, with one special token that counts wherever its string occurs."""
-    return byte_bpe.ByteBpe(special={"<|endoftext|>": 50256})
+    """The json file's vocabulary is that of the ranks; its special tokens count wherever their strings occur."""
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    return byte_bpe.ByteBpe(special={t["content"]: t["id"] for t in added})
 
 
 def encode_texts(df: DataFrame, end_id: int, key: str, text: str) -> DataFrame:
@@ -283,7 +289,10 @@ def write(df: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text:
     rows = encoded.where("packed is not null").select("k", "packed")
     size = rows.agg(F.sum(F.length("packed"))).first()[0] or 0
     files = max(1, -(-size // FILE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")) if size > 1 << 20 else 1)
-    ordered = rows.repartitionByRange(files, F.asc_nulls_first("k")).sortWithinPartitions(F.asc_nulls_first("k"), F.length("packed"), "packed")
+    # Bounds are sampled by Spark, so the order is by short keys. The last one parts equal rows; it is the same whenever the table is read.
+    order = [F.asc_nulls_first("k"), F.length("packed"), "hash", "row"]
+    hashed = rows.withColumns({"hash": F.xxhash64("packed"), "row": F.monotonically_increasing_id()})
+    ordered = hashed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("k", "packed")
     shared = spark.sparkContext.broadcast(lengths.tobytes())  # a byte for each id of the vocabulary
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ depend on the ORDER bytes that end there, so they are joined order by order to t
 of ``2**BLOCK_BITS`` rows, each of which asks once for each of its n-grams. The driver gets only the bins of calibration.
 
 Null URLs and those without ``://`` have an empty host and path and fit no rule; a null or empty URL has score 0.
-Without ruled URLs of both kinds the threshold is 0. Repeated URLs count each. Long URLs are read whole.
+Without ruled URLs of both kinds the threshold is 0. Repeated URLs count each. Long URLs are read whole. Empty tables give no rows. Other columns, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
