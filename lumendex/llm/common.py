@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    set and goes with the process. Tables that operators write to a named folder stay there, as results are read from them lazily; see ``remove``.
+    Where the session names none and runs on this machine alone (as in tests), a temporary folder is
+    set and goes with the process; a cluster must name one. Tables that operators write to a named folder stay there, as results are read from them lazily.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="lumendex-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
@@ -37,26 +40,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def durable(df: DataFrame, label: str, scratch: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     This cuts the lineage with a table that outlives any executor, unlike a
-    cache or a local checkpoint.
+    cache or a local checkpoint. scratch: gets the path, for ``remove`` when nothing reads the table any more.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system API."""
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths of the shared folder through Hadoop's file system API, and empty the list."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -55,20 +55,20 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _smallest_neighbour(pairs: DataFrame) -> DataFrame:
+def _smallest_neighbour(pairs: DataFrame, scratch: list[str]) -> DataFrame:
     """Written apart: joined as it stands, it would share its exchange with the pairs, whose hubs Spark then couldn't split."""
-    return common.durable(pairs.groupBy("a").agg(F.min("b").alias("least")), "least")
+    return common.durable(pairs.groupBy("a").agg(F.min("b").alias("least")), "least", scratch)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: list[str]) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _smallest_neighbour(both).select("a", F.least("a", "least").alias("least"))
+    least = _smallest_neighbour(both, scratch).select("a", F.least("a", "least").alias("least"))
     return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: list[str]) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _smallest_neighbour(down)
+    least = _smallest_neighbour(down, scratch)
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).where("a <> b")
 
@@ -76,13 +76,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``a``, ``b``: every node of the edges and the smallest node of its component (also the smallest itself).
 
-    Each round is written to the shared folder. Hubs are no hot groups: what gathers by node is a pre-aggregated minimum, and the
+    Each round is written to the shared folder, and its tables go when the next one is. Rows without a node give nothing, repeated rows count once, empty tables give no rows. Hubs are no hot groups: what gathers by node is a pre-aggregated minimum, and the
     joins are plain ones that Spark splits where keys are skewed.
     """
-    edges = common.durable(_contract(edges.where("a <> b")), "edges")
+    old: list[str] = []
+    edges = common.durable(_contract(edges.where("a <> b")), "edges", old)
     known = None
     for _ in range(rounds):
-        stars = common.durable(_small_star(_large_star(edges)).distinct(), "edges")
+        new: list[str] = []
+        stars = common.durable(_small_star(_large_star(edges, old), old).distinct(), "edges", new)
+        common.remove(edges.sparkSession, old)
+        old = new
         mark = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         edges = stars
         if mark == known:

@@ -263,14 +263,14 @@ def _fits(total: str = "total", count: str = "count") -> Column:
     return (F.col(total) <= BLOCK_SHINGLES) & (F.col(count) <= BLOCK_TEXTS)
 
 
-def deal(members: DataFrame, rows: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+def deal(members: DataFrame, rows: DataFrame, threshold: Fraction, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Into which blocks texts go: ``kind``, ``comp``, ``cls``, ``block``, ``alone`` (no tile beside its own), ``band``, and of each text ``rep``, ``copies``, ``s``, ``b``,
     ``heavy``; and the numbers of ``blocks`` of each ``comp`` and ``cls`` of the last kind.
 
     members: ``rep``, ``s``, ``copies``, ``n``, ``comp`` of the texts that share a bucket; rows: ``k``, ``s``, ``b`` of all.
     """
     size = [F.sum("n").alias("total"), F.count("*").alias("count")]
-    whole = common.durable(members.groupBy("comp").agg(*size).select("comp", _fits().alias("alone")), "whole")
+    whole = common.durable(members.groupBy("comp").agg(*size).select("comp", _fits().alias("alone")), "whole", scratch)
     none = {"int": F.lit(None).cast("int"), "bands": F.lit(None).cast("array<bigint>"), "bigint": F.lit(None).cast("bigint")}
     small = members.join(whole.where("alone").select("comp"), "comp").select(
         F.lit(WHOLE).alias("kind"), "comp", F.lit(0).alias("cls"), F.lit(0).alias("block"), F.lit(True).alias("alone"), none["int"].alias("band"), "rep", "copies", "s", none["bands"].alias("b"), none["bigint"].alias("heavy"),
@@ -280,16 +280,16 @@ def deal(members: DataFrame, rows: DataFrame, threshold: Fraction) -> tuple[Data
     if large.isEmpty():
         return small, no_parts
     large = members.join(large, "comp").select("rep", "s", "copies", "n")
-    large = common.durable(large.join(rows.select(F.col("k").alias("rep"), "s", "b"), ["rep", "s"]).distinct(), "large")
+    large = common.durable(large.join(rows.select(F.col("k").alias("rep"), "s", "b"), ["rep", "s"]).distinct(), "large", scratch)
     placed = large.select("rep", "n", F.posexplode("b").alias("band", "h"))
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"x{k}") for k in range(2)]
-    buckets = common.durable(placed.groupBy("h", "band").agg(*size, F.min("rep").alias("hub"), *marks).where("count > 1"), "buckets")
+    buckets = common.durable(placed.groupBy("h", "band").agg(*size, F.min("rep").alias("hub"), *marks).where("count > 1"), "buckets", scratch)
     light = (F.col("count") <= LIGHT) & (F.col("total") <= BLOCK_SHINGLES)
     # Of buckets with the same members the first is enough.
     kept = buckets.where(light).groupBy("x0", "x1", "count").agg(F.min(F.struct("band", "h")).alias("first")).select("first.*")
     heavy = placed.join(buckets.where(~light).select("h", "band", "hub"), ["h", "band"]).select("rep", "band", "hub")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("band"))
-    bits = common.durable(heavy.groupBy("rep").agg(F.bit_or(bit).alias("heavy")), "heavy")
+    bits = common.durable(heavy.groupBy("rep").agg(F.bit_or(bit).alias("heavy")), "heavy", scratch)
     own = large.join(bits, "rep", "left").select("rep", "s", "copies", "n", "b", F.coalesce("heavy", F.lit(0).cast("bigint")).alias("heavy"))
     of_buckets = placed.select("rep", "h", "band").join(kept, ["h", "band"]).join(own, "rep").select(
         F.lit(BUCKET).alias("kind"), F.col("h").alias("comp"), F.lit(0).alias("cls"), F.lit(0).alias("block"), F.lit(True).alias("alone"), "band", "rep", "copies", "s", "b", "heavy",
@@ -297,10 +297,10 @@ def deal(members: DataFrame, rows: DataFrame, threshold: Fraction) -> tuple[Data
     # Components of the large buckets alone, dealt by size and hash.
     near = components.components(heavy.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("comp"))
     sized = own.join(near, "rep").withColumn("cls", F.floor(F.log("n") / math.log(float(1 / threshold)) + 1e-9).cast("int"))
-    sized = common.durable(sized, "sized")
+    sized = common.durable(sized, "sized", scratch)
     fits = sized.groupBy("comp").agg(*size).select("comp", _fits().alias("alone"))
     parts = sized.groupBy("comp", "cls").agg(*size).select("comp", "cls", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("count") / BLOCK_TEXTS)).cast("int").alias("blocks"))
-    parts = common.durable(parts, "blocks")
+    parts = common.durable(parts, "blocks", scratch)
     of_parts = sized.join(fits, "comp").join(parts, ["comp", "cls"]).select(
         F.lit(PART).alias("kind"), "comp", F.when(F.col("alone"), 0).otherwise(F.col("cls")).alias("cls"), F.when(F.col("alone"), 0).otherwise(F.pmod(F.xxhash64("rep", "s"), F.col("blocks"))).cast("int").alias("block"),
         "alone", none["int"].alias("band"), "rep", "copies", "s", "b", "heavy",
@@ -310,8 +310,9 @@ def deal(members: DataFrame, rows: DataFrame, threshold: Fraction) -> tuple[Data
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``key``, ``class_id`` (smallest key of its class), ``n_links``, ``copies`` (documents with the same shingle set) of every key."""
-    rows, texts, members = candidates(docs, key, text, size, threshold, recall)
-    dealt, parts = deal(members, rows, threshold)
+    scratch: list[str] = []
+    rows, texts, members = candidates(docs, key, text, size, threshold, recall, scratch)
+    dealt, parts = deal(members, rows, threshold, scratch)
     own_text = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("t"))
     # Always by a shuffle: the members grow with the texts.
     placed = own_text.join(dealt.hint("merge"), "rep").repartition("kind", "comp", "cls", "block").sortWithinPartitions("kind", "comp", "cls", "block", "rep", "s")
@@ -321,6 +322,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     if not blocks.isEmpty():
         more = common.durable(_tiles(blocks, parts, threshold), "verified")
         links = links.union(more.select("rep", "links", "root"))
+    common.remove(docs.sparkSession, scratch)
     classes = components.components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("class_id"))
     summed = links.groupBy("rep").agg(F.sum("links").alias("links"))
     told = texts.join(summed, "rep", "left").join(classes, "rep", "left").select(
@@ -330,7 +332,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     return out.groupBy(F.col("k").alias(key)).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("copies").alias("copies"))
 
 
-def candidates(docs: DataFrame, key: str, text: str, size: int, threshold: Fraction, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidates(docs: DataFrame, key: str, text: str, size: int, threshold: Fraction, recall: float, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows; ``s``, ``rep``, ``copies`` of the different texts; ``rep``, ``s``, ``copies``, ``n``, ``comp`` of those that share a bucket."""
     bands = Bands(*banding(float(threshold), recall, MOST_HASHES))
     rows = common.durable(signatures(docs, key, text, size, bands), "signatures")
@@ -338,12 +340,12 @@ def candidates(docs: DataFrame, key: str, text: str, size: int, threshold: Fract
     of_reps = rows.join(texts, (rows["s"] == texts["s"]) & (rows["k"] == texts["rep"]))
 
     # One row for each text and band; buckets of one text are gone after the first aggregation.
-    firsts = common.durable(of_reps.select("rep", F.explode("b").alias("h")).distinct(), "bands")
+    firsts = common.durable(of_reps.select("rep", F.explode("b").alias("h")).distinct(), "bands", scratch)
     hubs = firsts.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
     edges = firsts.join(hubs, "h").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     near = components.components(edges).select(F.col("a").alias("rep"), F.col("b").alias("comp"))
     members = of_reps.select("rep", texts["s"], "copies", "n").distinct().join(near, "rep")
-    return rows, texts, common.durable(members, "members")
+    return rows, texts, common.durable(members, "members", scratch)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
