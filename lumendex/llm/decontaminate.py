@@ -32,6 +32,7 @@ WINDOW, MOST_WRONG, LEAST_WORDS = 16, 4, 5
 BITS_A_SEED, MOST_BITS, MOST_BROADCAST = 16, 25, 100_000
 #: Scripts without spaces between words.
 SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai")
+_MAYBE = r"[\x{0E00}-\x{0E7F}\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{16F00}-\x{3FFFF}]"
 _SPAN = 1 + max(o for m in MASKS for o in m)
 
 
@@ -49,7 +50,8 @@ def tolerance(words: int) -> int:
 def words(text: Column) -> Column:
     unspaced = "[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]"
     low = F.lower(text)
-    spaced = F.when(low.rlike(unspaced), F.regexp_replace(low, f"({unspaced})", " $1 ")).otherwise(low)
+    # A range is found faster than a script; it holds all characters of these scripts.
+    spaced = F.when(low.rlike(_MAYBE), F.regexp_replace(low, f"({unspaced})", " $1 ")).otherwise(low)
     return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 

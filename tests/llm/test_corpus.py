@@ -368,6 +368,13 @@ def test_short_items_and_scripts_without_spaces(spark):
     assert set(want) == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 4), (9, 6), (11, 5), (16, 8)}
 
 
+def test_scripts_lie_in_their_range(spark):
+    every = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    unspaced = "[" + "".join(rf"\p{{Is{s}}}" for s in decontaminate.SCRIPTS) + "]"
+    found = every.where(F.col("c").rlike(unspaced)).agg(F.count("*").alias("n"), F.count_if(~F.col("c").rlike(decontaminate._MAYBE)).alias("out")).first()
+    assert found.n > 90_000 and found.out == 0
+
+
 def test_bit_sets_grow_with_the_items(spark):
     r = random.Random(9)
     some = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(n))
