@@ -18,6 +18,8 @@ from collections import OrderedDict
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -328,8 +330,17 @@ class Database:
             self.files.delete(folder)
 
     def verify(self) -> None:
-        """Check the stored index against the stored documents; Corrupt if they disagree."""
+        """Check the checksums of all stored pages, and the stored index against the stored documents; Corrupt if any is wrong."""
         found = self.snapshot()
+        m = found.manifest
+        kinds = ["docs"] if m.format_version == 1 else ["docs", "postings"]
+        folders = [f"{m.base}/{kind}" for kind in kinds if m.base] + [f"{p}/{kind}" for p, _ in m.commits for kind in ("ops", "postings")]
+        for folder in folders:
+            rows = self.spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(self.files.url(folder))
+            try:
+                rows.agg(F.bit_xor(F.xxhash64(*rows.columns))).collect()
+            except (PySparkException, Py4JJavaError) as e:
+                raise Corrupt(f"{folder} can't be read") from e
         live, own = found.live(), found.index()
         rows = found._rows("postings")
         if rows is None:
