@@ -73,27 +73,29 @@ def _small_star(edges: DataFrame, scratch: list[str]) -> DataFrame:
     return moved.union(least.select("a", F.col("least").alias("b"))).where("a <> b")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre or has one edge to a centre; edges lead to the smaller node."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``a``, ``b``: every node of the edges and the smallest node of its component (also the smallest itself).
 
-    Each round is written to the shared folder, and its tables go when the next one is. Rows without a node give nothing, repeated rows count once, empty tables give no rows. Hubs are no hot groups: what gathers by node is a pre-aggregated minimum, and the
+    Each round is written to the shared folder, and its tables go when the next one is. Rows without a node give nothing, repeated rows count once, empty tables give
+    no rows. Hubs are no hot groups: what gathers by node is a pre-aggregated minimum, and the
     joins are plain ones that Spark splits where keys are skewed.
     """
     old: list[str] = []
     edges = common.durable(_contract(edges.where("a <> b")), "edges", old)
-    known = None
-    for _ in range(rounds):
+    while not _are_stars(edges):
+        if not (rounds := rounds - 1):
+            raise RuntimeError("components aren't found after so many rounds")
         new: list[str] = []
         stars = common.durable(_small_star(_large_star(edges, old), old).distinct(), "edges", new)
         common.remove(edges.sparkSession, old)
-        old = new
-        mark = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        edges = stars
-        if mark == known:
-            break
-        known = mark
-    else:
-        raise RuntimeError(f"components aren't found after {rounds} rounds")
+        edges, old = stars, new
     return edges.union(edges.select("b", "b").distinct())
 
 
