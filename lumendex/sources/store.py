@@ -258,18 +258,19 @@ class Database:
         fields = F.col("fields")
         whole = fields.isNotNull() & ~F.exists(fields, lambda x: x.isNull()) & F.size(fields).between(1, MAX_FIELDS)
         good = F.col("rowid").isNotNull() & ((F.col("op") == "delete") | ((F.col("op") == "upsert") & whole))
+        # Counted while they are written; a task that runs again may count twice, so only whether there are any matters.
         seen = Observation()
-        told = ops.select("rowid", "op", "fields").observe(seen, F.count("*").alias("n"), F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("bad"))
+        told = ops.select("rowid", "op", "fields").observe(seen, F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("bad"))
         rows = indexing.with_lengths(indexing.spread(told)).withColumn("commit", F.lit(commit))
         rows.write.parquet(self.files.url(f"{folder}/ops"))
-        count, bad = seen.get["n"], seen.get["bad"]
+        bad = seen.get.get("bad", 0)
         stored = self.spark.read.schema(rows.schema).parquet(self.files.url(f"{folder}/ops"))
-        repeated = 0 if bad else count - stored.agg(F.count_distinct("rowid")).first()[0]
-        if bad or repeated or not count:
+        count, ids = stored.agg(F.count("*"), F.count_distinct("rowid")).first()
+        if bad or ids < count or not count:
             self.files.delete(folder)
             if bad:
-                raise InvalidInput(f"{bad} operations aren't an upsert or a delete, or lack a rowid, or have null fields, or not 1 to {MAX_FIELDS} of them")
-            if repeated:
+                raise InvalidInput(f"operations must be an upsert or a delete, with a rowid, and upserts with 1 to {MAX_FIELDS} fields that aren't null")
+            if ids < count:
                 raise InvalidInput("a commit takes one operation for each rowid")
             return self.generation
         postings = indexing.build_postings(stored.where("op = 'upsert'")).withColumn("commit", F.lit(commit))
