@@ -31,19 +31,48 @@ def with_lengths(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_len", analysis.token_count(F.col("fields")))
 
 
-def build_postings(docs: DataFrame, *keep: str, wanted: Callable[[Column], Column] | None = None, required: Iterable[str] = ()) -> DataFrame:
-    """``term``, ``rowid``, ``tf``, ``doc_len``, ``positions`` (ascending), and the columns ``keep``, of documents (rowid, fields).
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
-    wanted: a condition on terms; other tokens are dropped before they become rows. required: terms without which a document has no rows.
+
+def _by_term(occurrences: Column) -> Column:
+    """The (term, position) of one document as (term, tf, positions), one a term: one sort, then linear."""
+
+    def entry(rows: Column, begin: Column, end: Column) -> Column:
+        positions = F.transform(F.slice(rows, begin + 1, end - begin), lambda x: x["position"])
+        return F.struct(rows[begin]["term"].alias("term"), (end - begin).alias("tf"), positions.alias("positions"))
+
+    def grouped(rows: Column) -> Column:
+        first = F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | (F.get(rows, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+        return _let(first, lambda begins: F.transform(begins, lambda begin, k: entry(rows, begin, F.coalesce(F.get(begins, k + 1), F.size(rows)))))
+
+    return _let(F.sort_array(occurrences), grouped)
+
+
+def build_postings(docs: DataFrame, *keep: str) -> DataFrame:
+    """``term``, ``rowid``, ``tf``, ``doc_len``, ``positions`` (ascending), and the columns ``keep``, of documents (rowid, fields) whose rowids differ.
+
+    Each document's tokens are grouped where it lies, so nothing goes through an exchange or is held but one document.
     """
     # A generator of one row keeps the tokens from being computed once for each use.
     tokens = docs.select("rowid", *keep, F.explode(F.array(analysis.occurrences(F.col("fields")))).alias("o"))
+    rows = tokens.select("rowid", *keep, F.size("o").alias("doc_len"), F.explode(_by_term(F.col("o"))).alias("t"))
+    return rows.select("t.term", "rowid", *keep, "t.tf", "doc_len", "t.positions")
+
+
+def gather_postings(docs: DataFrame, wanted: Callable[[Column], Column] | None = None, required: Iterable[str] = ()) -> DataFrame:
+    """The same of documents whose rowids may be repeated, grouped by an exchange.
+
+    wanted: a condition on terms; other tokens are dropped before they become rows. required: terms without which a document has no rows.
+    """
+    tokens = docs.select("rowid", F.explode(F.array(analysis.occurrences(F.col("fields")))).alias("o"))
     for term in sorted(required):
         tokens = tokens.where(F.array_contains(F.col("o.term"), term))
     own = F.filter("o", lambda t: wanted(t["term"])) if wanted else F.col("o")
-    rows = tokens.select("rowid", *keep, F.size("o").alias("doc_len"), F.explode(own).alias("t"))
-    grouped = rows.select("rowid", *keep, "doc_len", "t.term", "t.position").groupBy("term", "rowid", "doc_len", *keep)
-    return grouped.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")).select("term", "rowid", *keep, "tf", "doc_len", "positions")
+    rows = tokens.select("rowid", F.size("o").alias("doc_len"), F.explode(own).alias("t"))
+    grouped = rows.select("rowid", "doc_len", "t.term", "t.position").groupBy("term", "rowid", "doc_len")
+    return grouped.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")).select("term", "rowid", "tf", "doc_len", "positions")
 
 
 @dataclass
@@ -63,7 +92,7 @@ class Index:
         """Index a DataFrame in place. ``fields``: string columns; else ``fields`` is an array column."""
         own = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in fields]) if fields else F.col("fields")
         rows = spread(docs.select(F.col(rowid).cast("bigint").alias("rowid"), own.alias("fields")))
-        return cls(with_lengths(rows), build_postings(rows), source=rows)
+        return cls(with_lengths(rows), gather_postings(rows), source=rows)
 
     @cached_property
     def totals(self) -> tuple[int, int]:
@@ -91,7 +120,7 @@ class Index:
         required: terms (with their frequencies) without which documents aren't asked for; theirs are dropped before any exchange.
         """
         if self.source is not None:
-            return build_postings(self.source, wanted=lambda term: matches_leaf(terms, prefixes, term), required=required or ())
+            return gather_postings(self.source, wanted=lambda term: matches_leaf(terms, prefixes, term), required=required or ())
         rows = self.postings.where(matches_leaf(terms, prefixes))
         if not required or len(terms) + len(prefixes) == 1:
             return rows

@@ -53,28 +53,36 @@ def _parts(spark: SparkSession, sf_dir: str) -> Index:
 _VERSIONS: dict[tuple[str, str], tuple[Database, dict[str, Snapshot]]] = {}
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> tuple[Database, dict[str, Snapshot]]:
-    """A store with a history, built once a session and table folder, and snapshots of it.
+def _versions(spark: SparkSession, sf_dir: str, version: str = "later") -> tuple[Database, Snapshot]:
+    """A store with a history, built once a session and table folder, as far as the named version at least, and that version's snapshot.
 
     "commits": all documents (generation 1); every third with another text (2); every seventh deleted (3). "compacted": the same, compacted. "later":
     every fifth deleted after that (4).
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _VERSIONS:
-        docs = _table(spark, sf_dir, "documents")
-        db = Database(spark, fresh_path(spark, "store"), DatabaseConfig(query_cache_capacity=0))
-        kept = {}
-        gone = lambda n: docs.where(F.col("doc_id") % n == 0).select(F.col("doc_id").alias("rowid"), F.lit("delete").alias("op"), F.lit(None).cast("array<string>").alias("fields"))
+        _VERSIONS[key] = Database(spark, fresh_path(spark, "store"), DatabaseConfig(query_cache_capacity=0)), {}
+    db, kept = _VERSIONS[key]
+    docs = _table(spark, sf_dir, "documents")
+    gone = lambda n: docs.where(F.col("doc_id") % n == 0).select(F.col("doc_id").alias("rowid"), F.lit("delete").alias("op"), F.lit(None).cast("array<string>").alias("fields"))
+
+    def commits() -> None:
         db.upsert_df(docs, "doc_id", ["text"])
         db.upsert_df(docs.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("replaced the "), "text").alias("text")), "doc_id", ["text"])
         db.commit_ops(gone(7))
-        kept["commits"] = db.snapshot()
-        db.optimize(vacuum=False)
-        kept["compacted"] = db.snapshot()
-        db.commit_ops(gone(5))
-        kept["later"] = db.snapshot()
-        _VERSIONS[key] = db, kept
-    return _VERSIONS[key]
+
+    steps = {"commits": commits, "compacted": lambda: db.optimize(vacuum=False), "later": lambda: db.commit_ops(gone(5))}
+    for name, step in steps.items():
+        if version in kept:
+            break
+        if name not in kept:
+            try:
+                step()
+            except BaseException:
+                del _VERSIONS[key]  # a half-built history isn't carried on
+                raise
+            kept[name] = db.snapshot()
+    return db, kept[version]
 
 
 # -- SQL building blocks -------------------------------------------------------------------
@@ -336,12 +344,12 @@ _REPLACED = _ranked(_LIVE_DOCS, _SCORED, "term IN ('replaced', 'of')")
 
 
 def _replaced(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
-    return _search(_versions(spark, sf_dir)[1][version].index(), query.or_([query.term("replaced"), query.term("of")]))
+    return _search(_versions(spark, sf_dir, version)[1].index(), query.or_([query.term("replaced"), query.term("of")]))
 
 
 @registered("WITH " + _NEWEST + " SELECT rowid, gen::BIGINT AS generation, md5(text) AS digest FROM newest WHERE op = 'upsert'")
 def upsert_delete_visible_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir)[1]["commits"].live().select("rowid", "generation", F.md5(F.col("fields")[0]).alias("digest"))
+    return _versions(spark, sf_dir, "commits")[1].live().select("rowid", "generation", F.md5(F.col("fields")[0]).alias("digest"))
 
 
 @registered(_REPLACED)
@@ -362,26 +370,26 @@ def search_live_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_ranked(_LATER_DOCS, _has("term = 'replaced'") + " AND " + _has("term = 'tion'"), "term IN ('replaced', 'tion')"))
 def search_and_after_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(_versions(spark, sf_dir)[1]["later"].index(), query.and_([query.term("replaced"), query.term("tion")]))
+    return _search(_versions(spark, sf_dir, "later")[1].index(), query.and_([query.term("replaced"), query.term("tion")]))
 
 
 @registered("WITH " + _LATER_DOCS + " SELECT count(*) AS live_docs, sum(len(toks))::BIGINT AS total_doc_len, 4::BIGINT AS generation FROM docs")
 def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db, _ = _versions(spark, sf_dir)
+    db, _ = _versions(spark, sf_dir, "later")
     return spark.createDataFrame([(len(db), db.snapshot().index().totals[1], db.generation)], "live_docs long, total_doc_len long, generation long")
 
 
 @registered("WITH " + _LATER_DOCS.replace(_OF_NEWEST, "") + " SELECT rowid, text FROM newest WHERE op = 'upsert' AND rowid IN (42, 43, 44, 45, 48)")
 def get_by_rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deleted row, one as it was first, and replaced ones."""
-    db, _ = _versions(spark, sf_dir)
+    db, _ = _versions(spark, sf_dir, "later")
     found = {k: db.get(k) for k in (42, 43, 44, 45, 48)}
     return spark.createDataFrame([(k, v[0]) for k, v in found.items() if v], "rowid long, text string")
 
 
 @registered("WITH " + _NEWEST + " SELECT rowid, op, gen::BIGINT AS generation FROM newest")
 def last_op_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir)[1]["commits"].newest_ops()
+    return _versions(spark, sf_dir, "commits")[1].newest_ops()
 
 
 @registered("SELECT doc_id AS rowid, 1::BIGINT AS generation, md5(text) AS digest FROM documents")

@@ -34,6 +34,8 @@ from .files import Files
 FORMAT = 2
 #: Operations of commits after the base whose row numbers and generations are broadcast (some 30 bytes each).
 MOST_BROADCAST = 1_000_000
+#: Bytes of stored operations whose postings a task sorts at most (some 20 times as much in memory).
+SORTED_AT_ONCE = 16 << 20
 OPS = T.StructType([T.StructField("rowid", T.LongType(), False), T.StructField("op", T.StringType(), False), T.StructField("fields", T.ArrayType(T.StringType()))])
 
 
@@ -262,7 +264,7 @@ class Database:
         seen = Observation()
         told = ops.select("rowid", "op", "fields").observe(seen, F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("bad"))
         rows = indexing.with_lengths(indexing.spread(told)).withColumn("commit", F.lit(commit))
-        rows.write.parquet(self.files.url(f"{folder}/ops"))
+        rows.write.option("parquet.block.size", SORTED_AT_ONCE).parquet(self.files.url(f"{folder}/ops"))
         bad = seen.get.get("bad", 0)
         stored = self.spark.read.schema(rows.schema).parquet(self.files.url(f"{folder}/ops"))
         count, ids = stored.agg(F.count("*"), F.count_distinct("rowid")).first()
@@ -273,8 +275,9 @@ class Database:
             if ids < count:
                 raise InvalidInput("a commit takes one operation for each rowid")
             return self.generation
-        postings = indexing.build_postings(stored.where("op = 'upsert'")).withColumn("commit", F.lit(commit))
-        postings.sortWithinPartitions("term", "rowid").write.parquet(self.files.url(f"{folder}/postings"))
+        upserts = self._finely().read.schema(rows.schema).parquet(self.files.url(f"{folder}/ops")).where("op = 'upsert'")
+        postings = indexing.build_postings(upserts).sortWithinPartitions("term", "rowid").withColumn("commit", F.lit(commit))
+        postings.write.parquet(self.files.url(f"{folder}/postings"))
 
         def add(now: Manifest) -> Manifest:
             done = dict(now.batches)
@@ -286,6 +289,13 @@ class Database:
 
         return self._publish(add).generation
 
+    def _finely(self) -> SparkSession:
+        """A session like this one whose scans are cut finely enough that a sort of what they give stays in memory, whatever the table's size."""
+        fine = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+        own = self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        fine.conf.set("spark.sql.files.maxPartitionBytes", str(min(own, SORTED_AT_ONCE)))
+        return fine
+
     def upsert_df(self, df: DataFrame, rowid: str, fields: list[str] | str, batch: tuple[str, int] | None = None) -> int:
         """Commit all rows of a DataFrame. fields: string columns, or one array column. Of equal rowids one row must be given."""
         own = F.array(*[F.col(f) for f in fields]) if isinstance(fields, list) else F.col(fields)
