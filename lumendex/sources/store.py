@@ -94,6 +94,13 @@ class Manifest:
 _COLUMNS = {"docs": ["rowid", "op", "fields", "doc_len", "generation"], "postings": ["term", "rowid", "tf", "doc_len", "positions", "generation"]}
 
 
+def _newest_of(ops: DataFrame) -> DataFrame:
+    """rowid, generation, op of the newest operation of each row number. Both travel as one number, so that they are aggregated by hash, before and after the exchange."""
+    both = F.max(F.col("generation") * 2 + (F.col("op") == "upsert").cast("bigint")).alias("both")
+    newest = ops.groupBy("rowid").agg(both)
+    return newest.select("rowid", F.expr("both div 2").alias("generation"), F.when(F.col("both") % 2 == 1, "upsert").otherwise("delete").alias("op"))
+
+
 @dataclass
 class Snapshot:
     """One version of the store."""
@@ -131,7 +138,7 @@ class Snapshot:
         if commits is None:
             return base
         # Only narrow columns of the commits are read and shuffled.
-        newest = self._commits("docs").groupBy("rowid").agg(F.max_by(F.struct("generation", "op"), "generation").alias("d")).select("rowid", "d.*")
+        newest = _newest_of(self._commits("docs"))
         sizes = dict(self.manifest.sizes)
         few = sum(sizes.get(p, MOST_BROADCAST + 1) for p, _ in self.manifest.commits) <= MOST_BROADCAST
         changed, kept = newest.select("rowid"), newest.where("op = 'upsert'").select("rowid", "generation")
@@ -152,7 +159,7 @@ class Snapshot:
         rows = self._rows("docs")
         if rows is None:
             return self.spark.createDataFrame([], "rowid long, op string, generation long")
-        return rows.groupBy("rowid").agg(F.max_by(F.struct("op", "generation"), "generation").alias("d")).select("rowid", "d.*")
+        return _newest_of(rows).select("rowid", "op", "generation")
 
     def index(self) -> indexing.Index:
         if self._index is None:
