@@ -30,6 +30,11 @@ class Files:
         path = self._path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
 
+    def size(self, folder: str) -> int:
+        """Bytes of all files below a folder; 0 without it."""
+        path = self._path(folder)
+        return self.fs.getContentSummary(path).getLength() if self.fs.exists(path) else 0
+
     def read(self, name: str) -> bytes:
         stream = self.fs.open(self._path(name))
         try:

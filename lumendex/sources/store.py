@@ -4,8 +4,8 @@
 ``commits/<id>/ops`` and ``commits/<id>/postings`` hold a commit, ``base/<id>/docs`` and ``base/<id>/postings`` what
 ``optimize`` compacted. A folder that no manifest names is invisible. A snapshot is one manifest, so readers are isolated.
 
-Which rows of the base and of the commits are live is told by the commits' row numbers, generations and operations alone; these few columns are broadcast
-up to ``MOST_BROADCAST`` operations, so documents and postings are filtered where they lie, and fields are read only by what asks for them.
+Which rows of the base and of the commits are live is told by the commits' row numbers, generations and operations alone; these are broadcast as words of 64
+neighbouring row numbers, up to ``MOST_BROADCAST`` words, so documents and postings are filtered where they lie, and fields are read only by what asks for them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,8 @@ from ..plans import search as planner
 from .files import Files
 
 FORMAT = 2
-#: Operations of commits after the base whose row numbers and generations are broadcast (some 30 bytes each).
+#: Words of 64 neighbouring row numbers, with a generation and a bit for each number, that are broadcast at most (some 100 bytes each): 64 million operations
+#: on row numbers that lie together, a million if they lie far apart.
 MOST_BROADCAST = 1_000_000
 #: Bytes of stored operations whose postings a task sorts at most (some 20 times as much in memory).
 SORTED_AT_ONCE = 16 << 20
@@ -62,7 +63,7 @@ class Manifest:
     batches: tuple[tuple[str, int], ...] = ()
     #: Documents and tokens of the base, where known.
     base_totals: tuple[int, int] | None = None
-    #: Operations of each commit after the base, by folder, where known.
+    #: Words of 64 row numbers (older stores: operations, which are no fewer) of each commit after the base, by folder, where known.
     sizes: tuple[tuple[str, int], ...] = ()
 
     def to_bytes(self) -> bytes:
@@ -94,6 +95,16 @@ class Manifest:
 _COLUMNS = {"docs": ["rowid", "op", "fields", "doc_len", "generation"], "postings": ["term", "rowid", "tf", "doc_len", "positions", "generation"]}
 
 
+def _word() -> Column:
+    """The word of 64 neighbouring row numbers that ``rowid`` is in."""
+    return F.shiftright("rowid", 6)
+
+
+def _bit() -> Column:
+    """The bit of ``rowid`` in its word."""
+    return F.expr("shiftleft(1L, cast(rowid & 63 as int))")
+
+
 def _newest_of(ops: DataFrame) -> DataFrame:
     """rowid, generation, op of the newest operation of each row number. Both travel as one number, so that they are aggregated by hash, before and after the exchange."""
     both = F.max(F.col("generation") * 2 + (F.col("op") == "upsert").cast("bigint")).alias("both")
@@ -132,26 +143,38 @@ class Snapshot:
         parts = [p for p in (self._base(kind), self._commits(kind)) if p is not None]
         return parts[0].unionByName(parts[-1]) if len(parts) == 2 else parts[0] if parts else None
 
-    def _live_rows(self, kind: str) -> DataFrame | None:
-        """Those rows that the newest operation of their row number left: of the base what no commit names, of commits what none after names."""
-        base, commits = self._base(kind), self._commits(kind)
+    def _live_rows(self, kind: str, rowid: int | None = None) -> DataFrame | None:
+        """Those rows that the newest operation of their row number left: of the base what no commit names, of commits what none after names.
+
+        rowid: only rows of this number; the condition reaches all scans.
+        """
+        asked = F.lit(True) if rowid is None else F.col("rowid") == rowid
+        base, commits = (rows if rows is None else rows.where(asked) for rows in (self._base(kind), self._commits(kind)))
         if commits is None:
             return base
         if base is None and len(self.manifest.commits) == 1:  # an only commit names each row once
             return commits.where("op = 'upsert'") if kind == "docs" else commits
         # Only narrow columns of the commits are read and shuffled.
-        newest = _newest_of(self._commits("docs"))
+        newest = _newest_of(self._commits("docs").where(asked))
+        upserts = newest.where("op = 'upsert'")
         sizes = dict(self.manifest.sizes)
         few = sum(sizes.get(p, MOST_BROADCAST + 1) for p, _ in self.manifest.commits) <= MOST_BROADCAST
-        changed, kept = newest.select("rowid"), newest.where("op = 'upsert'").select("rowid", "generation")
         if few:
-            changed, kept = F.broadcast(changed), F.broadcast(kept)
-        live = commits.join(kept, ["rowid", "generation"], "left_semi").select(*_COLUMNS[kind])
-        return live if base is None else base.join(changed, "rowid", "left_anti").select(*_COLUMNS[kind]).unionByName(live)
-
-    def live(self) -> DataFrame:
-        """rowid, fields, doc_len, generation of live documents: the newest operation of each row, if it is an upsert."""
-        rows = self._live_rows("docs")
+            bits = F.bit_or(_bit()).alias("bits")
+            changed = F.broadcast(newest.groupBy(_word().alias("word")).agg(bits))
+            kept = F.broadcast(upserts.groupBy(_word().alias("word"), F.col("generation").alias("at")).agg(bits))
+            named = (_word() == F.col("word")) & (F.col("bits").bitwiseAND(_bit()) != 0)
+            live = commits.join(kept, named & (F.col("generation") == F.col("at")), "left_semi")
+            rest = base.join(changed, named, "left_anti") if base is not None else None
+        else:
+            live = commits.join(upserts.select("rowid", "generation"), ["rowid", "generation"], "left_semi")
+            rest = base.join(newest.select("rowid"), "rowid", "left_anti") if base is not None else None
+        live = live.select(*_COLUMNS[kind])
+        return live if rest is None else rest.select(*_COLUMNS[kind]).unionByName(live)
+
+    def live(self, rowid: int | None = None) -> DataFrame:
+        """rowid, fields, doc_len, generation of live documents (or of that one): the newest operation of each row, if it is an upsert."""
+        rows = self._live_rows("docs", rowid)
         if rows is None:
             return self.spark.createDataFrame([], "rowid long, fields array<string>, doc_len int, generation long")
         return rows.select("rowid", "fields", "doc_len", "generation")
@@ -282,7 +305,8 @@ class Database:
         rows.write.option("parquet.block.size", SORTED_AT_ONCE).parquet(self.files.url(f"{folder}/ops"))
         bad = seen.get.get("bad", 0)
         stored = self.spark.read.schema(rows.schema).parquet(self.files.url(f"{folder}/ops"))
-        count, ids = stored.agg(F.count("*"), F.count_distinct("rowid")).first()
+        by_word = stored.groupBy(_word().alias("word")).agg(F.count("*").alias("n"), F.bit_count(F.bit_or(_bit())).alias("ids"))
+        count, ids, words = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ids"), F.lit(0)), F.count("*")).first()
         if bad or ids < count or not count:
             self.files.delete(folder)
             if bad:
@@ -300,7 +324,7 @@ class Database:
                 return now
             done |= dict([batch] if batch else [])
             generation = now.generation + 1
-            return replace(now, generation=generation, format_version=FORMAT, commits=(*now.commits, (folder, generation)), sizes=(*now.sizes, (folder, count)), batches=tuple(sorted(done.items())))
+            return replace(now, generation=generation, format_version=FORMAT, commits=(*now.commits, (folder, generation)), sizes=(*now.sizes, (folder, words)), batches=tuple(sorted(done.items())))
 
         return self._publish(add).generation
 
@@ -324,7 +348,7 @@ class Database:
         own = before.index()
         own.docs.sort("rowid").write.parquet(self.files.url(f"{base}/docs"))
         counted = self.spark.read.parquet(self.files.url(f"{base}/docs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")).first()
-        own.postings.sort("term", "rowid").write.parquet(self.files.url(f"{base}/postings"))
+        self._by_term(own.postings, before.manifest).write.parquet(self.files.url(f"{base}/postings"))
         seen = before.manifest
 
         def swap(now: Manifest) -> Manifest:
@@ -337,6 +361,14 @@ class Database:
         if vacuum:
             self.vacuum()
 
+    def _by_term(self, postings: DataFrame, m: Manifest) -> DataFrame:
+        """Sorted by term and rowid, in so many parts that each is sorted in memory, whatever the table's size."""
+        stored = sum(self.files.size(f"{folder}/postings") for folder in (m.base, *[p for p, _ in m.commits]) if folder)
+        parts = -(-stored // (2 * SORTED_AT_ONCE))
+        if parts <= int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return postings.sort("term", "rowid")
+        return postings.repartitionByRange(parts, "term", "rowid").sortWithinPartitions("term", "rowid")
+
     def vacuum(self, orphans: bool = False) -> None:
         """Delete older manifests and the folders that only they name. Other handles must refresh.
 
@@ -385,7 +417,7 @@ class Database:
     # -- reading ---------------------------------------------------------------------------
 
     def get(self, rowid: int) -> list[str] | None:
-        row = self.snapshot().live().where(F.col("rowid") == rowid).select("fields").first()
+        row = self.snapshot().live(rowid).select("fields").first()
         return list(row.fields) if row else None
 
     def search_df(self, query: Query, options: SearchOptions | None = None, exhaustive: bool = False) -> DataFrame:
