@@ -80,7 +80,8 @@ class Index:
     """docs: rowid, fields, doc_len of live documents; postings: term, rowid, tf, doc_len, positions of the same."""
 
     docs: DataFrame
-    postings: DataFrame
+    #: The postings; None if they are made of the source when asked for.
+    stored: DataFrame | None
     segments: int = 1
     #: The documents (rowid, fields), if postings aren't stored but made when asked for.
     source: DataFrame | None = None
@@ -92,7 +93,15 @@ class Index:
         """Index a DataFrame in place. ``fields``: string columns; else ``fields`` is an array column."""
         own = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in fields]) if fields else F.col("fields")
         rows = spread(docs.select(F.col(rowid).cast("bigint").alias("rowid"), own.alias("fields")))
-        return cls(with_lengths(rows), gather_postings(rows), source=rows)
+        return cls(with_lengths(rows), None, source=rows)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """All postings. If they aren't stored, rowids are looked at first: documents go through an exchange only if some are repeated."""
+        if self.stored is not None:
+            return self.stored
+        repeated = self.source.groupBy("rowid").agg(F.count("*").alias("n")).where("n > 1")
+        return build_postings(self.source) if repeated.isEmpty() else gather_postings(self.source)
 
     @cached_property
     def totals(self) -> tuple[int, int]:
